@@ -46,16 +46,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = (spark, path)
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of materialize() that nothing reads any more."""
+    _delete(*table._written_to)
+    _written.remove(table._written_to)
 
 
 def release() -> None:
     """Delete the tables that materialize() wrote; runs by itself when Python ends."""
     for spark, path in _written:
         try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session has gone; its folder goes with it
             pass
     _written.clear()
