@@ -179,3 +179,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
         part = wanted.mapInArrow(find, _SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """The rows of docs in which no item occurs, with all their columns."""
+    for block in _blocks(benchmark, rate):
+        shipped = docs.sparkSession.sparkContext.broadcast(block)
+
+        def keep(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            b: Block = shipped.value
+            for c in chunks(batches):
+                good = np.ones(c.num_rows, bool)
+                if len(b.items):
+                    good[[m[0] for m in b.matches(*text_bytes(c.column("text")))]] = False
+                yield c.filter(pa.array(good))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs

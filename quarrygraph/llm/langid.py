@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import chunks, per_row, text_bytes
 from .ppm import Classes, Tally, grams
@@ -66,8 +67,10 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -
     return Classes(names, keys, counts, order)
 
 
-def identify(docs: DataFrame, model: Classes) -> DataFrame:
-    """docs' doc_id with lang_pred, score and bits_per_byte of every row."""
+def identify(docs: DataFrame, model: Classes, keep: list[str] | None = None) -> DataFrame:
+    """lang_pred, score and bits_per_byte of every row, behind its doc_id or the columns to keep."""
+    keep = keep or ["doc_id"]
+    wanted = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,11 +89,20 @@ def identify(docs: DataFrame, model: Classes) -> DataFrame:
             names = np.array([*m.names, "und"], object)
             lang = names[np.where(known, best, len(m.names))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(lang, pa.string()), pa.array(np.where(known, 1 / odds, 0.0)), pa.array(least / np.maximum(size, 1))],
-                ["doc_id", "lang_pred", "score", "bits_per_byte"],
+                [*b.columns[:-1], pa.array(lang, pa.string()), pa.array(np.where(known, 1 / odds, 0.0)), pa.array(least / np.maximum(size, 1))],
+                [*b.schema.names[:-1], "lang_pred", "score", "bits_per_byte"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(predict, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    schema = T.StructType([*wanted.schema.fields[:-1], *T._parse_datatype_string("lang_pred string, score double, bits_per_byte double").fields])
+    return wanted.mapInArrow(predict, schema).toDF(*keep, "lang_pred", "score", "bits_per_byte")
+
+
+def in_known_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """The rows whose text is in a language of docs' labels: not `und`, and scored least_score or more."""
+    columns = docs.columns
+    told = identify(docs, fit(docs), columns)
+    good = (F.col("lang_pred") != "und") & (F.col("score") >= least_score)
+    return told.filter(good).drop("lang_pred", "score", "bits_per_byte")
 
 
 def language_id(docs: DataFrame, held_out_of: int = 5) -> DataFrame:

@@ -419,3 +419,10 @@ def similar(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"),
         F.coalesce("component_id", "doc_id").alias("component_id"), F.col("cls").alias("class_id"),
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are their component's smallest id. Rows without an id, and rows that share
+    one, stay or go together: with an id they stay if it is the smallest, without one they stay."""
+    gone = similar(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
