@@ -16,9 +16,11 @@ again can't disagree with itself. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,56 +28,151 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize
-from .tokens import KEEP, MOST, tokenizer
+from .common import Hasher, chunks, materialize, text_bytes, word_spans
+from .tokens import tokenizer
 
 OPEN_WINDOWS, FAN_IN, LEAST_ROOM = 32, 64, 16
-_END = b" "  # never a word
+#: Words and pieces that a worker remembers.
+WORDS, PIECES = 2_000_000, 300_000
+#: The pre-tokenizer's pieces of lower-case words whose characters are all below U+0250, where normal
+#: form C and lower case are made character by character; what byte-level encoding writes for bytes.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_PLAIN = re.compile(r"[!-;=-~\xc0-\u012f\u0131-\u024f]+")
+_LETTERS = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LETTER = {b: b if b in _LETTERS else 256 + sum(x not in _LETTERS for x in range(b)) for b in range(256)}
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, window long, offset long, level int, closed boolean, ids binary"
 
 
+class Known:
+    """An index of words by 64-bit hash and first eight bytes, which grows; lookups are vectorised."""
+
+    def __init__(self):
+        self.key, self.head, self.used = np.empty(1 << 14, np.uint64), np.empty(1 << 14, np.uint64), 0
+        self._slots(15)
+
+    def _slots(self, bits: int) -> None:
+        self.shift, self.wrap, self.slots = np.uint64(64 - bits), (1 << bits) - 1, np.full(1 << bits, -1, np.int32)
+        self._place(np.arange(self.used, dtype=np.int32))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _place(self, left: np.ndarray) -> None:
+        slot = self._slot(self.key[left])
+        while len(left):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            at, first = np.unique(slot[free], return_index=True)
+            self.slots[at] = left[free[first]]
+            stay = np.ones(len(left), bool)
+            stay[free[first]] = False
+            left, slot = left[stay], (slot[stay] + 1) & self.wrap
+
+    def add(self, keys: np.ndarray, heads: np.ndarray) -> None:
+        """Take in words that aren't there, each once."""
+        total = self.used + len(keys)
+        while total > len(self.key):
+            self.key, self.head = (np.concatenate([x, np.empty_like(x)]) for x in (self.key, self.head))
+        self.key[self.used : total], self.head[self.used : total] = keys, heads
+        new = np.arange(self.used, total, dtype=np.int32)
+        self.used = total
+        if 2 * total > len(self.slots):
+            self._slots((4 * total).bit_length())
+        else:
+            self._place(new)
+
+    def __call__(self, keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """Number of each word in the order of taking in, -1 for one that isn't there."""
+        slot = self._slot(keys)
+        out = self.slots[slot]
+        miss = np.flatnonzero((out >= 0) & ((self.key[out] != keys) | (self.head[out] != heads)))
+        while len(miss):
+            slot[miss] = (slot[miss] + 1) & self.wrap
+            out[miss] = now = self.slots[slot[miss]]
+            miss = miss[(now >= 0) & ((self.key[now] != keys[miss]) | (self.head[now] != heads[miss]))]
+        return out
+
+
+def heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words' first eight bytes as one integer, zeros behind shorter ones."""
+    out = np.zeros(len(starts), np.uint64)
+    data = np.concatenate([data, np.zeros(8, np.uint8)])
+    for k in range(8):
+        out |= np.where(starts + k < ends, data[starts + k], 0).astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
 class WordIds:
-    """Token ids of texts under a tokenizer that drops white space: words are encoded once and remembered."""
+    """Token ids of texts under a tokenizer that drops white space: words are encoded once and
+    remembered. A word is known by its hash and first bytes, so lookups are a few vector passes."""
 
     def __init__(self, path: str, end_id: int):
         self.encoder, self.end_id = tokenizer(path), end_id
-        self.known: dict[bytes, int] = {_END: 0}
-        self.flat, self.used = np.full(1 << 16, end_id, np.uint32), 1
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.ones(1 << 16, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = [e.ids for e in self.encoder.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        self.tokenize = self.encoder.model.tokenize
+        self.piece: dict[str, list[int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = Known()
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.first, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        """Ids of words. Plain ones are cut into the pieces that the pre-tokenizer makes of them, which
+        are far fewer, so each is encoded once; all others are encoded whole."""
+        if len(self.piece) > PIECES:
+            self.piece = {}
+        piece, plain, find = self.piece, _PLAIN.fullmatch, _PIECE.findall
+        cut = [find(w.lower()) if plain(w) else None for w in words]
+        for p in {p for c in cut if c for p in c if p not in piece}:
+            piece[p] = [t.id for t in self.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(_BYTE_LETTER))]
+        other = iter(self.encoder.encode_batch_fast([w for w, c in zip(words, cut) if c is None], add_special_tokens=False))
+        get = piece.__getitem__
+        return [next(other).ids if c is None else get(c[0]) if len(c) == 1 else [i for p in c for i in get(p)] for c in cut]
+
+    def _learn(self, keys: np.ndarray, head: np.ndarray, words: list[str]) -> None:
+        encoded = self._ids(words)
         sizes = np.fromiter(map(len, encoded), np.int64, len(words))
-        n, total = len(self.known), self.used + int(sizes.sum())
+        n, total = self.known.used, self.used + int(sizes.sum())
         while total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
         while n + len(words) > len(self.first):
             self.first, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.first, self.size))
-        self.flat[self.used : total] = np.fromiter((i for e in encoded for i in e), np.uint32, total - self.used)
+        self.flat[self.used : total] = np.fromiter(chain.from_iterable(encoded), np.uint32, total - self.used)
         self.first[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
         self.size[n : n + len(words)] = sizes
-        self.known.update(zip(words, range(n, n + len(words))))
         self.used = total
+        self.known.add(keys, head)
 
-    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's closed by the end id, and the bounds of the texts."""
-        if len(self.known) > MOST:  # back to the first words
-            self.known = dict(list(self.known.items())[:KEEP])
-            self.used = int(self.first[KEEP - 1] + self.size[KEEP - 1])
-        words: list[bytes] = []
-        bounds = np.zeros(len(texts) + 1, np.int64)
-        for i, t in enumerate(texts):
-            words += t.split()
-            words.append(_END)
-            bounds[i + 1] = len(words)
-        if new := [w for w in set(words) if w not in self.known]:
-            self._learn(new)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.used > WORDS:
+            self._forget()
+        starts, ends, bounds = word_spans(data, off)
+        keys = Hasher(data)(starts, ends) if len(starts) else np.empty(0, np.uint64)
+        head = heads(data, starts, ends)
+        at = self.known(keys, head)
+        miss = np.flatnonzero(at < 0)
+        if len(miss):
+            new = miss[_distinct(keys[miss], head[miss])]
+            raw = data.tobytes()
+            self._learn(keys[new], head[new], [raw[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist())])
+            at[miss] = self.known(keys[miss], head[miss])
         sizes = self.size[at]
-        ends = np.zeros(len(at) + 1, np.int64)
-        np.cumsum(sizes, out=ends[1:])
-        where = np.repeat(self.first[at] - ends[:-1], sizes) + np.arange(ends[-1])
-        return self.flat[where], ends[bounds]
+        total = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(sizes, out=total[1:])
+        ids = self.flat[np.repeat(self.first[at] - total[:-1], sizes) + np.arange(total[-1])]
+        out = np.full(len(ids) + len(off) - 1, self.end_id, np.uint32)
+        where = total[bounds] + np.arange(len(off))  # the end id follows each text
+        text = np.repeat(np.arange(len(off) - 1), np.diff(total[bounds]))
+        out[np.arange(len(ids)) + text] = ids
+        return out, where
+
+
+def _distinct(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Index of one of each pair."""
+    order = np.lexsort((head, keys))
+    k, h = keys[order], head[order]
+    return order[np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])]
 
 
 @lru_cache(2)
@@ -158,7 +255,7 @@ def _first_level(size: int, path: str, end_id: int):
         part, encode, packer, n = TaskContext.get().partitionId(), _word_ids(path, end_id), Packer(size), 0
         for b in chunks(batches):
             docs = b.column("doc_id").to_pylist()
-            ids, bounds = encode([t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()])
+            ids, bounds = encode(*text_bytes(b.column("text")))
             for doc, lo, hi in zip(docs, bounds[:-1].tolist(), bounds[1:].tolist()):
                 packer.add([(doc, 0, hi - lo, ids[lo:hi])])
             for i, (used, p) in enumerate(packer.open):  # let go of the slice's ids
