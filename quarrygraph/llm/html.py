@@ -57,7 +57,7 @@ class Writer:
 
     def text(self, s: str) -> None:
         s = _SPACES.sub(" ", s)
-        if s[0] == " " and (not self.now or self.now[-1][-1] == " "):
+        if s[0] == " " and (not self.now or self.now[-1][-1:] in ("", " ")):
             s = s[1:]
         if s:
             self.now.append(s)
