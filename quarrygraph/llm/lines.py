@@ -23,10 +23,6 @@ from pyspark.sql import functions as F
 RATIO, LEAST_PAGES, SALTS = 0.05, 5, 16
 
 
-def _lines(text: str) -> Column:
-    return F.split(F.col(text), "\n")
-
-
 def _spoken(line: Column) -> Column:
     """Whether a line has anything but ASCII white space."""
     return line.rlike("[^ \\t\\n\\x0B\\f\\r]")
@@ -47,15 +43,16 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
 def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """pages with their boilerplate lines dropped, and the columns n_lines and n_removed."""
     drop = boilerplate(pages, host, text, ratio, least_pages).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = pages.withColumn("_at", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-    joined = salted.join(drop, (F.col("_at") == F.col("_salt")) & F.col(host).eqNullSafe(F.col("_host")), "left")
-    kept = F.filter(_lines(text), lambda x: ~(F.array_contains("_drop", F.xxhash64(x)) & _spoken(x)))
-    out = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept).otherwise(_lines(text)))
-    n, left = F.coalesce(F.size(_lines(text)), F.lit(0)), F.coalesce(F.size("_kept"), F.lit(0))
-    count = lambda c: F.when(F.col(text).isNull(), F.lit(0)).otherwise(c).cast("long")
-    return out.withColumns({"n_lines": count(n), "n_removed": count(n - left), text: F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))}).select(
-        *pages.columns, "n_lines", "n_removed"
-    )
+    # the page travels as one struct, so no column of it can clash with those used here
+    page = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("_page"), F.col(host).alias("_site"), F.col(text).alias("_text"))
+    salted = page.withColumn("_at", F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(drop, (F.col("_at") == F.col("_salt")) & F.col("_site").eqNullSafe(F.col("_host")), "left")
+    kept = F.filter(F.split("_text", "\n"), lambda x: ~(F.array_contains("_drop", F.xxhash64(x)) & _spoken(x)))
+    out = joined.withColumn("_lines", F.split("_text", "\n")).withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept).otherwise(F.col("_lines")))
+    count = lambda c: F.when(F.col("_text").isNull(), F.lit(0)).otherwise(c).cast("long")
+    new = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
+    same = [(new if c == text else F.col("_page").getField(c)).alias(c) for c in pages.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*same, count(F.size("_lines")).alias("n_lines"), count(F.size("_lines") - F.size("_kept")).alias("n_removed"))
 
 
 ORACLE = f"""
