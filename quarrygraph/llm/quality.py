@@ -180,3 +180,38 @@ def quality(docs: DataFrame, least: int = LEAST) -> DataFrame:
         "m.doc_id", *(f"m.{c}" for c in COUNTS), base_failed().alias("base_failed"),
         (~base_failed() & F.coalesce(good, F.lit(False))).alias("kept"),
     )
+
+
+def _oracle() -> str:
+    ratios = " UNION ALL ".join(
+        f"SELECT rid, '{r}' AS rule, CASE WHEN {b} > 0 THEN (1000000 * {a}) // {b} ELSE 0 END AS v FROM f" for r, (a, b, *_) in RULES.items()
+    )
+    bad = " OR ".join(
+        f"(rule = '{r}' AND ({' OR '.join(x for x in (low is not None and f'v < q1 - {low} * greatest(q3 - q1, {slack})', high is not None and f'v > q3 + {high} * greatest(q3 - q1, {slack})') if x)}))"
+        for r, (_, _, low, high, slack) in RULES.items()
+    )
+    level = lambda name, keys: (
+        f"{name} AS (SELECT {keys}rule, min(bucket) FILTER (4 * below >= total) AS q1, min(bucket) FILTER (4 * below >= 3 * total) AS q3, max(total) AS docs FROM ("
+        f"SELECT {keys}rule, bucket, sum(n) OVER (PARTITION BY {keys}rule ORDER BY bucket) AS below, sum(n) OVER (PARTITION BY {keys}rule) AS total FROM ("
+        f"SELECT {keys}rule, bucket, count(*) AS n FROM s GROUP BY ALL)) GROUP BY ALL)"
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS k FROM (SELECT rid, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w WHERE len(ws) > 2)),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM g) WHERE n > 1) GROUP BY rid),
+c AS (SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+ CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines
+ FROM w LEFT JOIN r ON r.rid = w.rid),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+m AS ({ratios}),
+s AS (SELECT f.lang, f.source, rule, (v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6) AS bucket FROM m JOIN f ON f.rid = m.rid WHERE NOT base_failed),
+{level('q2', 'lang, source, ')}, {level('q1', 'lang, ')}, {level('q0', '')},
+q AS (SELECT a.lang, a.source, a.rule, CASE WHEN a.docs >= {LEAST} THEN a.q1 WHEN b.docs >= {LEAST} THEN b.q1 ELSE o.q1 END AS q1, CASE WHEN a.docs >= {LEAST} THEN a.q3 WHEN b.docs >= {LEAST} THEN b.q3 ELSE o.q3 END AS q3
+ FROM q2 a JOIN q1 b ON a.lang IS NOT DISTINCT FROM b.lang AND a.rule = b.rule JOIN q0 o ON a.rule = o.rule),
+x AS (SELECT DISTINCT m.rid FROM m JOIN f ON f.rid = m.rid JOIN q ON q.lang IS NOT DISTINCT FROM f.lang AND q.source IS NOT DISTINCT FROM f.source AND q.rule = m.rule WHERE {bad.replace('rule =', 'm.rule =')})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rid NOT IN (SELECT rid FROM x) AS kept FROM f
+"""
+
+
+ORACLE = _oracle()
