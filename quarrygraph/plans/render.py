@@ -73,7 +73,7 @@ def facts(sections: dict[str, DataFrame], limit: int = 1000) -> str:
 
 def cypher(graph: Graph) -> DataFrame:
     """One statement a row, in the order in which to run them: nodes by label and id, then edges by type and ends."""
-    quote = lambda c: F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\\\\\"), "'", r"\\\\'"), F.lit("'"))
+    quote = lambda c: F.concat(F.lit("'"), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
     entries = F.array_sort(F.map_entries("props"))
     props = lambda: F.array_join(F.transform(entries, lambda e: F.concat(F.lit("`"), e["key"], F.lit("`: "), quote(e["value"]))), ", ")
     nodes = graph.nodes.select(F.lit(0).alias("part"), F.col("label").alias("k1"), F.col("id").alias("k2"), F.lit("").alias("k3"), F.concat(F.lit("MERGE (n:`"), "label", F.lit("` {nodeId: "), quote(F.col("id")), F.lit("}) SET n.name = "), quote(F.col("name")), F.lit(", n += {"), props(), F.lit("};")).alias("statement"))
