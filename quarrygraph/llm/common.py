@@ -7,17 +7,18 @@ the cost per byte is a handful of vector passes instead of a Python loop.
 from __future__ import annotations
 
 import atexit
-import os
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text a kernel looks at together; working arrays are 8 to 60 times this.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1 << 13
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
@@ -90,18 +91,56 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches of about limit bytes of text each, or one row where that is longer."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        _, off = text_bytes(batch.column(column))
-        at = 0
-        while at < n:
-            to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
-            yield batch.slice(at, to - at)
-            at = to
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What a worker keeps from task to task, until chunks() runs for something else."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def trim() -> None:
+    """Give freed memory back, which workers would else hold while other operators run."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def tidy(group: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of groups that trims when it is done."""
+
+    @wraps(group)
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return group(table)
+        finally:
+            trim()
+
+    return run
+
+
+def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about limit bytes of text and at most CHUNK_ROWS rows, or one row where that is longer. Of what kept() has, only keep stays."""
+    for name in [k for k in _kept if k != keep]:
+        del _kept[name]
+    trim()
+    try:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            _, off = text_bytes(batch.column(column))
+            at = 0
+            while at < n:
+                to = min(at + CHUNK_ROWS, max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1))
+                yield batch.slice(at, to - at)
+                at = to
+    finally:
+        trim()
 
 
 # --- words, as runs of bytes other than ASCII white space -------------------------------

@@ -3,22 +3,29 @@
 A document's set is its distinct word shingles, as 64-bit hashes. Documents with equal sets are a
 class, and classes are joined, each with its number of documents, so copies are never paired.
 
-The n-grams are cut into fragments by hash range. In its fragment an n-gram's frequency is counted
-over classes; n-grams of one class can't match and are dropped, and a class keeps its rest only if
-that can still reach the threshold. With t the threshold, sets x and y that link share one of
-the n - ceil(t n) + 1 first n-grams of each in a global order, rarest first; pairs that do are the
-candidates. Then, over the whole sets, the n-grams are again cut into fragments of the global order;
-each fragment counts its part of every candidate pair's overlap, and the parts are summed per pair.
-
-Rows that move are packed: one row holds what a slice of texts, or a fragment, has for one target, so
-counts of rows stay far below counts of n-grams. A class named by many slices is counted once in each
-fragment. An n-gram shared by more than HOT classes has its pairs made block by block in separate tasks. No
-partner or candidate is left out. Components are found by alternating large and small stars.
+With t the threshold, sets x and y that link share L of the n - ceil(t n) + L first n-grams of each in a global
+order, for any L up to ceil(t n). Any order is right; here the n-grams that a bounded sample finds frequent
+come last. The order is cut into fragments, and only the first n-grams are sent to them. With L of five times
+the fragments and one (less for small sets), a pair that links has six in common in some fragment; pairs that do are
+the candidates, so a passage of a few shared n-grams makes none. Small sets have fragments of their own, as few as their n-grams need, so that this holds for
+them too. Over the whole sets of the classes named by them, fragments of the order again count
+their part of every candidate pair's overlap, and the parts are summed per pair.
+
+Large groups of near copies have as many pairs as the square of their size, so their pairs never move. Bands of
+minima, as signatures, first gather classes that are likely near copies into clusters; what they miss costs only
+time, never a link. The pairs within a cluster are compared in one task (or, for a large cluster, in
+one task for each two blocks of it): again fragment by fragment, each a product of 0/1 matrices, summed per pair.
+Only the number of links of each class and a spanning forest of the links come out. Candidates of different
+clusters go the way above.
+
+Rows that move are packed: one row holds what a slice of texts has for one fragment, so counts of rows
+stay far below counts of n-grams. Of equal texts a task sends one. An n-gram shared by more than HOT classes
+has its pairs made block by block in separate tasks. No partner or candidate is left out. Components are found by
+alternating large and small stars.
 
 Defined results: null or wordless text has an empty set, links with nothing and is its own component. A text
 of fewer words than a shingle is one n-gram. Repeated ids count as separate documents; the component is
-the smallest id. An empty table gives an empty result. Hashes within a fragment keep 48 bits, so two
-n-grams of a fragment of some millions meet with a chance near 1e-8 each.
+the smallest id. An empty table gives an empty result. N-grams are told apart by 64-bit hashes, and so are sets.
 """
 
 from __future__ import annotations
@@ -30,15 +37,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Hasher, chunks, discard, materialize, mix, rows_of, text_bytes, word_spans
+from .common import LOWER, Hasher, chunks, discard, materialize, mix, rows_of, text_bytes, tidy, word_spans
+from .ppm import Table, Tally
 
 WORDS, TOP, BOTTOM = 2, 60, 100  # shingles of two words, Jaccard 60/100
-FRAGMENT_BYTES, FRAGMENT_NGRAMS, HOT = 28_000_000, 1 << 21, 2048
+#: First n-grams, and n-grams of whole sets, in a fragment; classes of an n-gram whose pairs one task makes.
+FRAGMENT_FIRST, FRAGMENT_NGRAMS, HOT = 1 << 22, 1 << 20, 16_384
+#: Sets up to this size are compared apart from those of TOP/BOTTOM of it and more; a pair that links is in one or the other.
+SMALL = 100
+#: Bytes of text that the order is learned from, and frequent n-grams that come last in it.
+SAMPLE_BYTES, FREQUENT = 64_000_000, 1 << 20
+#: Signatures that put near copies into one cluster: bands of minima over bins of the hash.
+BANDS, MINIMA = 8, 6
+#: Classes of a cluster that one task compares; n-grams of a fragment of them.
+TOGETHER, COLUMNS = 2048, 4096
 _U = np.uint64
 
 
 def shingles(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and hashes of the distinct shingles, by row and hash."""
+    """Rows and hashes of the distinct shingles, by row."""
     starts, ends, bounds = word_spans(data, off)
     if not len(starts):
         return np.empty(0, np.int64), np.empty(0, _U)
@@ -59,21 +76,13 @@ def shingles(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.
             whole = mix(np.array([whole * _U(5) + x]))[0]
         key[first] = whole
     key, row = key[full], row[full]
-    order = np.lexsort((key, row))
+    mine = mix(key + row.astype(_U) * _U(0xD1342543DE82EF95))  # equal only for equal rows and keys
+    order = np.argsort(mine)
+    mine = mine[order]
+    order = order[np.concatenate([[True], mine[1:] != mine[:-1]])]
     key, row = key[order], row[order]
-    keep = np.ones(len(key), bool)
-    keep[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-    return row[keep], key[keep]
-
-
-def _six(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unsix(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    order = np.argsort(row.astype(np.uint16 if len(bounds) <= 1 << 16 else np.int64), kind="stable")
+    return row[order], key[order]
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:
@@ -82,215 +91,209 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind[t]) for c, t in zip(columns, types)], list(names))
 
 
-_PACKED = "frag int, doc_id long, cls long, n long, classes binary, sizes binary, counts binary, grams binary"
+def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
+    return np.concatenate([np.empty(0, dtype), *(np.frombuffer(x, dtype) for x in table.column(name).to_pylist())])
+
+
+_DESCRIBED = "doc_id long, cls long, n long, th long, keys binary"
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's class, number of n-grams and signatures: keys that sets of much the same n-grams are likely to share."""
+    bins = BANDS * MINIMA
+    for b in chunks(batches):
+        row, key = shingles(*text_bytes(b.column("text")))
+        rows = b.num_rows
+        n = np.bincount(row, minlength=rows)
+        total = np.zeros(rows, _U)
+        np.add.at(total, row, mix(key ^ _U(0x5851F42D4C957F2D)))
+        cls = mix(total + n.astype(_U)).view(np.int64)
+        h = mix(key ^ _U(0xA0761D6478BD642F))
+        place = row * bins + (h % _U(bins)).astype(np.int64)
+        least = np.full(rows * bins, np.iinfo(np.uint64).max, _U)
+        np.minimum.at(least, place, h)
+        parts = least.reshape(rows, BANDS, MINIMA)
+        keys = np.broadcast_to(np.arange(BANDS, dtype=_U), (rows, BANDS)).copy()
+        for k in range(MINIMA):
+            keys = mix(keys * _U(3) + parts[:, :, k])
+        yield _batch(_DESCRIBED, b.column("doc_id"), pa.array(cls, mask=n == 0), n, b.column("th"), [k.tobytes() for k in keys])
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64)
+        yield _batch("key long, cls long", keys, np.repeat(b.column("cls").to_numpy(), BANDS))
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without texts that the task has had before, as far as it remembers."""
+    seen: set[int] = set()
+    for b in chunks(batches):
+        th = b.column("th").to_pylist()
+        new = [x not in seen and not seen.add(x) for x in th]
+        if len(seen) > 100_000:
+            seen = set()
+        yield b.filter(pa.array(new))
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tally = Tally()
+    for b in chunks(batches):
+        tally.add(shingles(*text_bytes(b.column("text")))[1])
+    k, n = tally.total()
+    often = n > 1
+    yield _batch("key long, n long", k[often].view(np.int64), n[often])
 
 
-def _scan(fragments: int):
-    """Documents with their class, in fragment -1 - k, and the n-grams of each fragment."""
-    bits = fragments.bit_length() - 1
+def frequent(texts: DataFrame, size: float) -> np.ndarray:
+    """N-grams that are frequent in a sample of about SAMPLE_BYTES, the most frequent last. Both what the sample has
+    and what comes to the driver are bounded."""
+    share = int(min(1.0, SAMPLE_BYTES / max(1.0, size)) * (1 << 30))
+    sample = texts.filter(F.pmod(F.col("th"), F.lit(1 << 30)) < share).select("text")
+    top = sample.mapInArrow(_tally, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    return top["key"].to_numpy().view(_U)[::-1].copy()
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named: set[int] = set()
-        spread = 0
+
+def _first(few: int, many: int, late):
+    """The first n-grams of each set, packed by fragment: few for small sets, and behind them many for the others."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
+            rank = late.value
             row, key = shingles(*text_bytes(b.column("text")))
-            rows = b.num_rows
-            n = np.bincount(row, minlength=rows)
-            total = np.zeros(rows, _U)
-            np.add.at(total, row, mix(key ^ _U(0x5851F42D4C957F2D)))
-            cls = mix(total + n.astype(_U)).view(np.int64)
-            spread = (spread + 1) % fragments
-            yield _batch(
-                _PACKED, [-1 - spread] * rows, b.column("doc_id"), pa.array(cls, mask=n == 0), n, *(pa.nulls(rows, pa.binary()) for _ in range(4))
-            )
-            _, first = np.unique(cls, return_index=True)
-            new = np.zeros(rows, bool)
-            new[[i for i in first.tolist() if int(cls[i]) not in named and n[i]]] = True
-            if len(named) < 1_000_000:
-                named.update(cls[new].tolist())
-            key, row = key[new[row]], row[new[row]]
-            frag = (key >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(key), np.int64)
-            order = np.lexsort((row, frag))
-            key, row, frag = key[order], row[order], frag[order]
-            cut = np.searchsorted(frag, np.arange(fragments + 1))
-            out = []
-            for f in range(fragments):
-                lo, hi = cut[f], cut[f + 1]
-                if lo < hi:
-                    who, count = np.unique(row[lo:hi], return_counts=True)
-                    out.append((f, cls[who].tobytes(), n[who].astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), _six(key[lo:hi])))
-            if out:
-                f, *rest = zip(*out)
-                k = len(out)
-                yield _batch(_PACKED, f, *(pa.nulls(k, pa.int64()) for _ in range(3)), *rest)
+            place = rank(key)  # -1 where it isn't frequent
+            order = np.where(place < 0, mix(key) >> _U(14), _U(1 << 50) + place.astype(_U))  # of 51 bits, below the row's 13
+            order = np.argsort(row.astype(_U) << _U(51) | order)
+            row, key = row[order], key[order]
+            n = np.bincount(row, minlength=b.num_rows)
+            at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
+            for fragments, which, behind in ((few, n <= SMALL, 0), (many, BOTTOM * n >= TOP * SMALL, few)):
+                take = np.where(which, np.minimum(n, n - -(-TOP * n // BOTTOM) + _common(n, fragments)), 0)
+                keep = at < take[row]
+                yield from _packed(b, row[keep], key[keep], fragments, behind)
 
-    return scan
+    return first
 
 
-def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
-    return np.concatenate([np.empty(0, dtype), *(np.frombuffer(x, dtype) for x in table.column(name).to_pylist())])
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets themselves."""
+    for b in chunks(batches):
+        row, key = shingles(*text_bytes(b.column("text")))
+        edge = np.searchsorted(row, np.arange(b.num_rows + 1))
+        yield _batch(_SETS, *(b.column(c) for c in ("cls", "n", "cluster", "copies", "m")), [key[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])])
 
 
-def _frequencies(blocks: int):
-    """N-grams of two classes or more of one fragment, with the bit length of their frequency, by block of classes."""
-
-    def frequencies(table: pa.Table) -> pa.Table:
-        frag = table.column("frag")[0].as_py()
-        if frag < 0:
-            return table
-        cls, size, count = _column(table, "classes", np.int64), _column(table, "sizes", np.int32), _column(table, "counts", np.int32)
-        gram = np.concatenate([np.empty(0, _U), *(_unsix(x) for x in table.column("grams").to_pylist())])
-        names, first = np.unique(cls, return_index=True)
-        once = np.zeros(len(cls), bool)
-        once[first] = True
-        gram = gram[np.repeat(once, count)]
-        cls, size, count = cls[once], size[once], count[once]
-        who = np.repeat(np.arange(len(cls), dtype=np.int32), count)
-        order = np.argsort(gram)
-        g, who = gram[order], who[order]
-        del gram, order
-        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
-        df = np.diff(np.append(begin, len(g)))
-        many = np.repeat(df > 1, df)
-        level = np.repeat(np.frexp(df)[1].astype(np.uint8), df)[many]
-        g, who = g[many], who[many]
-        block = (cls.view(_U) % _U(blocks)).astype(np.int64)[who]
-        order = np.lexsort((who, block))
-        g, who, level, block = g[order], who[order], level[order], block[order]
-        cut = np.searchsorted(block, np.arange(blocks + 1))
-        out = []
-        for b in range(blocks):
-            lo, hi = cut[b], cut[b + 1]
-            if lo < hi:
-                w, c = np.unique(who[lo:hi], return_counts=True)
-                out.append((b, frag, cls[w].tobytes(), size[w].tobytes(), c.astype(np.int32).tobytes(), _six(g[lo:hi]) + level[lo:hi].tobytes()))
-        if not out:
-            return table.schema.empty_table()
-        b, f, *rest = zip(*out)
-        k = len(out)
-        return pa.Table.from_batches([_batch(_PACKED, b, pa.nulls(k, pa.int64()), f, pa.nulls(k, pa.int64()), *rest)])
-
-    return frequencies
-
-
-_SETS = "cls long, n long, prefix int, grams binary"
-
-
-def _survivors(table: pa.Table) -> pa.Table:
-    """Classes of a block that can still link: their shared n-grams, rarest first, and the length of the prefix."""
-    cls, size, count = _column(table, "classes", np.int64), _column(table, "sizes", np.int32), _column(table, "counts", np.int32)
-    gram, level = [np.empty(0, _U)], [np.empty(0, np.uint8)]
-    for raw, frag in zip(table.column("grams").to_pylist(), table.column("cls").to_pylist()):
-        k = len(raw) // 7
-        gram.append(_unsix(raw[: 6 * k]) | _U(frag << 48))
-        level.append(np.frombuffer(raw[6 * k :], np.uint8))
-    gram, level = np.concatenate(gram), np.concatenate(level)
-    names, at = np.unique(cls, return_inverse=True)
-    n = np.zeros(len(names), np.int64)
-    n[at] = size
-    shared = np.bincount(at, count, len(names)).astype(np.int64)
-    alive = BOTTOM * shared >= TOP * n
-    who = np.repeat(at, count)
-    keep = alive[who]
-    gram, level, who = gram[keep], level[keep], who[keep]
-    order = np.lexsort((mix(gram), level, who))
-    gram = gram[order]
-    end = np.cumsum(np.where(alive, shared, 0))
-    prefix = n - -(-TOP * n // BOTTOM) + 1 - (n - shared)  # without those of one class, which come first
-    rows = [(int(names[i]), int(n[i]), int(prefix[i]), gram[end[i] - shared[i] : end[i]].tobytes()) for i in np.flatnonzero(alive)]
-    return pa.Table.from_batches([_batch(_SETS, *(zip(*rows) if rows else ([], [], [], [])))])
-
-
-_PART = "frag int, kind int, classes binary, sizes binary, counts binary, grams binary"
-
-
-def _split(fragments: int, whole: bool):
-    """The sets' prefixes, or the whole sets, cut into fragments of the order of mixed hashes."""
+_SETS = "cls long, n long, cluster long, copies long, m long, grams binary"
+_PART = "frag int, kind int, classes binary, sizes binary, clusters binary, counts binary, grams binary"
+
+
+def _common(n: np.ndarray, fragments: int) -> np.ndarray:
+    """How many n-grams of the prefixes a set of n has in common with one that it links with."""
+    return np.minimum(5 * fragments + 1, -(-TOP * n // BOTTOM))
+
+
+def _packed(b: pa.RecordBatch, row: np.ndarray, gram: np.ndarray, fragments: int, behind: int = 0) -> Iterator[pa.RecordBatch]:
+    """N-grams of rows with cls, n and cluster, as one row for each fragment."""
+    cls, n, home = b.column("cls").to_numpy(), b.column("n").to_numpy().astype(np.int32), b.column("cluster").to_numpy()
+    frag = (mix(gram) % _U(fragments)).astype(np.uint16 if fragments <= 1 << 16 else np.int64)
+    order = np.argsort(frag, kind="stable")
+    gram, row, frag = gram[order], row[order], frag[order]
+    cut = np.searchsorted(frag, np.arange(fragments + 1))
+    out = []
+    for f in range(fragments):
+        lo, hi = cut[f], cut[f + 1]
+        if lo < hi:
+            who, count = np.unique(row[lo:hi], return_counts=True)
+            out.append((behind + f, 0, cls[who].tobytes(), n[who].tobytes(), home[who].tobytes(), count.astype(np.int32).tobytes(), gram[lo:hi].tobytes()))
+    if out:
+        yield _batch(_PART, *zip(*out))
+
+
+def _split(fragments: int):
+    """Whole sets cut into fragments."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "grams"):
             grams = [np.frombuffer(g, _U) for g in b.column("grams").to_pylist()]
-            if not whole:
-                grams = [g[: max(p, 0)] for g, p in zip(grams, b.column("prefix").to_pylist())]
-            cls, n = b.column("cls").to_numpy(), b.column("n").to_numpy().astype(np.int32)
-            row, gram = np.repeat(np.arange(len(grams)), list(map(len, grams))), np.concatenate(grams)
-            frag = (mix(gram) % _U(fragments)).astype(np.int64)
-            order = np.lexsort((row, frag))
-            gram, row, frag = gram[order], row[order], frag[order]
-            cut = np.searchsorted(frag, np.arange(fragments + 1))
-            out = []
-            for f in range(fragments):
-                lo, hi = cut[f], cut[f + 1]
-                if lo < hi:
-                    who, count = np.unique(row[lo:hi], return_counts=True)
-                    out.append((f, 0, cls[who].tobytes(), n[who].tobytes(), count.astype(np.int32).tobytes(), gram[lo:hi].tobytes()))
-            if out:
-                yield _batch(_PART, *zip(*out))
+            yield from _packed(b, np.repeat(np.arange(len(grams)), list(map(len, grams))), np.concatenate(grams), fragments)
 
     return split
 
 
 _PAIRS = "a long, b long, na long, nb long, left binary, right binary"
-_MEMBER = np.dtype([("cls", "<i8"), ("n", "<i8")])
+_MEMBER = np.dtype([("cls", "<i8"), ("n", "<i8"), ("cluster", "<i8")])
 
 
-def _fits(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    return (BOTTOM * np.minimum(na, nb) >= TOP * np.maximum(na, nb)) & (na > 0)
-
-
-def _pair_rows(cls: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    swap = cls[i] > cls[j]
+def _pair_rows(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    """Pairs of members that are in different clusters and whose sizes allow a link."""
+    na, nb = m["n"][i], m["n"][j]
+    ok = (m["cluster"][i] != m["cluster"][j]) & (BOTTOM * np.minimum(na, nb) >= TOP * np.maximum(na, nb))
+    i, j = i[ok], j[ok]
+    swap = m["cls"][i] > m["cls"][j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     blank = pa.nulls(len(i), pa.binary())
-    return _batch(_PAIRS, cls[i], cls[j], n[i], n[j], blank, blank)
-
-
-def _candidates(table: pa.Table) -> pa.Table:
-    """Pairs of classes that share an n-gram of a fragment's prefixes, each once; blocks of members
-    where an n-gram has more than HOT."""
-    cls, size, count = _column(table, "classes", np.int64), _column(table, "sizes", np.int32), _column(table, "counts", np.int32)
-    gram = _column(table, "grams", _U)
-    names, at = np.unique(cls, return_inverse=True)
-    n = np.zeros(len(names), np.int64)
-    n[at] = size
-    who = np.repeat(at, count)
-    order = np.lexsort((who, gram))
-    g, who = gram[order], who[order]
-    begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
-    length = np.diff(np.append(begin, len(g)))
-    # n-grams with the same members are one list
-    salt = mix(who.astype(_U) + _U(1))
-    print_ = np.add.reduceat(salt, begin) if len(begin) else np.empty(0, _U)
-    _, one = np.unique(np.stack([print_, length.astype(_U)]), axis=1, return_index=True) if len(begin) else (None, np.empty(0, np.int64))
-    begin, length = begin[one], length[one]
-    codes, held, out = [], 0, []
-    many = np.int64(len(names))
-    for m in np.unique(length[length > 1]).tolist():
-        lists = begin[length == m]
-        if m > HOT:
-            for s in lists:
-                members = np.empty(m, _MEMBER)
-                members["cls"], members["n"] = names[who[s : s + m]], n[who[s : s + m]]
-                slices = [members[k : k + HOT].tobytes() for k in range(0, m, HOT)]
-                rows = [(x, y) for k, x in enumerate(slices) for y in slices[k:]]
-                blank = pa.nulls(len(rows), pa.int64())
-                out.append(_batch(_PAIRS, blank, blank, blank, blank, *zip(*rows)))
-            continue
-        left, right = np.triu_indices(m, 1)
-        step = max(1, 2_000_000 // len(left))
-        for k in range(0, len(lists), step):
-            group = who[lists[k : k + step, None] + np.arange(m)]
-            i, j = group[:, left].ravel(), group[:, right].ravel()
-            ok = _fits(n[i], n[j])
-            codes.append(np.unique(i[ok] * many + j[ok]))
-            held += len(codes[-1])
-            if held > 8_000_000:
-                codes = [np.unique(np.concatenate(codes))]
-                held = 4_000_000 if len(codes[0]) < 4_000_000 else 0
-    if codes:
-        code = np.unique(np.concatenate(codes))
-        out.append(_pair_rows(names, n, code // many, code % many))
-    return pa.Table.from_batches(out) if out else pa.Table.from_batches([_pair_rows(names, n, *[np.empty(0, np.int64)] * 2)])
+    return _batch(_PAIRS, m["cls"][i], m["cls"][j], m["n"][i], m["n"][j], blank, blank)
+
+
+def _candidates(few: int, many: int):
+    """Pairs of classes of different clusters that share enough n-grams of a fragment's prefixes;
+    blocks of members where an n-gram has more than HOT."""
+
+    def candidates(table: pa.Table) -> pa.Table:
+        fragments = few if table["frag"][0].as_py() < few else many
+        cls, size, home, count = (_column(table, c, t) for c, t in (("classes", np.int64), ("sizes", np.int32), ("clusters", np.int64), ("counts", np.int32)))
+        gram = _column(table, "grams", _U)
+        one = np.zeros(len(cls), bool)  # a class that several tasks have sent counts once
+        one[np.unique(cls, return_index=True)[1]] = True
+        member = np.empty(int(one.sum()), _MEMBER)
+        member["cls"], member["n"], member["cluster"] = cls[one], size[one], home[one]
+        gram, who = gram[np.repeat(one, count)], np.repeat(np.arange(len(member), dtype=np.int32), count[one])
+        order = np.argsort(gram, kind="stable")  # members of an n-gram stay in ascending order
+        g, who = gram[order], who[order]
+        del gram, order
+        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+        length = np.diff(np.append(begin, len(g)))
+        del g
+        lone = length == 1
+        who = who[np.repeat(~lone, length)]
+        length = length[~lone]
+        begin = np.cumsum(length) - length
+        where = np.unique(member["cluster"], return_inverse=True)[1].astype(np.int32)[who]
+        # lists within one cluster have no pairs for here
+        mixed = np.minimum.reduceat(where, begin) != np.maximum.reduceat(where, begin) if len(begin) else np.zeros(0, bool)
+        out = []
+        for s, m in zip(begin[mixed & (length > HOT)].tolist(), length[mixed & (length > HOT)].tolist()):
+            inside = member[who[s : s + m]]
+            slices = [inside[k : k + HOT].tobytes() for k in range(0, m, HOT)]
+            rows = [(x, y) for k, x in enumerate(slices) for y in slices[k:]]
+            blank = pa.nulls(len(rows), pa.int64())
+            out.append(_batch(_PAIRS, blank, blank, blank, blank, *zip(*rows)))
+        keep = np.repeat(mixed & (length <= HOT), length)
+        # a place of a list pairs with those behind it; places by class, in blocks of bounded pairs
+        behind = (np.repeat(begin + length, length) - 1 - np.arange(len(who)))[keep]
+        place = np.flatnonzero(keep)
+        order = np.argsort(who[place], kind="stable")
+        place, behind = place[order], behind[order]
+        del keep, order, where
+        total = np.concatenate([[0], np.cumsum(behind)])
+        edge = np.flatnonzero(np.concatenate([[True], who[place][1:] != who[place][:-1], [True]])) if len(place) else np.zeros(1, np.int64)
+        base, least = np.int64(len(member)), _common(member["n"], fragments)
+        k = 0
+        while k < len(edge) - 1:
+            to = max(k + 1, int(np.searchsorted(total[edge], total[edge[k]] + 1_000_000, "right")) - 1)
+            lo, hi = edge[k], edge[to]
+            n = behind[lo:hi]
+            x = np.repeat(who[place[lo:hi]], n)
+            y = who[np.repeat(place[lo:hi] + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            differ = member["cluster"][x] != member["cluster"][y]
+            code, times = np.unique(x[differ].astype(np.int64) * base + y[differ], return_counts=True)
+            x, y = code // base, code % base
+            enough = times >= -(-np.minimum(least[x], least[y]) // fragments)
+            out.append(_pair_rows(member, x[enough], y[enough]))
+            k = to
+        return pa.Table.from_batches(out, _batch(_PAIRS, [], [], [], [], [], []).schema)
+
+    return candidates
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,12 +301,65 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist()):
             p, q = np.frombuffer(x, _MEMBER), np.frombuffer(y, _MEMBER)
-            i, j = np.indices((len(p), len(q))).reshape(2, -1)
-            ok = _fits(p["n"][i], q["n"][j]) & ((x != y) | (i < j))
             both = np.concatenate([p, q])
-            i, j = i[ok], j[ok] + len(p)
-            for k in range(0, len(i), 200_000):
-                yield _pair_rows(both["cls"], both["n"], i[k : k + 200_000], j[k : k + 200_000])
+            for i in range(len(p)):  # a row of pairs at a time
+                j = np.arange(i + 1 if x == y else 0, len(q)) + len(p)
+                if len(j):
+                    yield _pair_rows(both, np.full(len(j), i), j)
+
+
+_WITHIN = "a long, b long, others long"
+
+
+def _within(table: pa.Table) -> pa.Table:
+    """Links within a cluster, or between two blocks of one: for each class the documents of those linked
+    with it, and a spanning forest of the links."""
+    table = table.take(np.unique(table["cls"].to_numpy(), return_index=True)[1])
+    block, i_block, j_block = (table[c].to_numpy() for c in ("block", "i", "j"))
+    cls, n, copies = (table[c].to_numpy() for c in ("cls", "n", "copies"))
+    grams = [np.frombuffer(g, _U) for g in table["grams"].to_pylist()]
+    count = np.array(list(map(len, grams)))
+    names, gram, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(cls)), count)
+    shared = times[gram] > 1
+    gram, row = (np.cumsum(times > 1) - 1)[gram[shared]], row[shared]
+    order = np.argsort(gram, kind="stable")
+    gram, row = gram[order], row[order]
+    columns = int((times > 1).sum())
+    left = np.flatnonzero(block == i_block)
+    right = left if i_block[0] == j_block[0] else np.flatnonzero(block == j_block)
+    both = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, columns, COLUMNS):  # fragments of the n-gram order
+        lo, hi = np.searchsorted(gram, [at, at + COLUMNS])
+        part = np.zeros((len(cls), min(COLUMNS, columns - at)), np.float32)
+        part[row[lo:hi], gram[lo:hi] - at] = 1
+        both += part[left] @ part[right].T
+    linked = BOTTOM * both >= TOP * (n[left][:, None] + n[right][None, :] - both)
+    same = left is right
+    if same:
+        np.fill_diagonal(linked, False)
+    others = np.zeros(len(cls), np.int64)
+    others[left] += linked @ copies[right]
+    if not same:
+        others[right] += linked.T @ copies[left]
+    root = np.arange(len(cls))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    tree = []
+    for x in range(len(left)):
+        for y in right[np.flatnonzero(linked[x])]:
+            p, q = find(left[x]), find(y)
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                tree.append((int(cls[left[x]]), int(cls[y])))
+    a, b = zip(*tree) if tree else ((), ())
+    k = len(cls)
+    return pa.Table.from_batches([_batch(_WITHIN, cls, pa.nulls(k, pa.int64()), others), _batch(_WITHIN, a, b, pa.nulls(len(a), pa.int64()))])
 
 
 def _pairs_out(fragments: int):
@@ -313,7 +369,7 @@ def _pairs_out(fragments: int):
         for b in batches:
             x, y = (b.column(c).to_numpy().tobytes() for c in "ab")
             for f in range(fragments):
-                yield _batch(_PART, [f], [1], [x], [b""], [b""], [y])
+                yield _batch(_PART, [f], [1], [x], [b""], [b""], [b""], [y])
 
     return out
 
@@ -325,9 +381,8 @@ def _overlaps(table: pa.Table) -> pa.Table:
     sets, pairs = table.filter(pc.equal(table["kind"], 0)), table.filter(pc.equal(table["kind"], 1))
     cls, count = _column(sets, "classes", np.int64), _column(sets, "counts", np.int32)
     gram = np.unique(_column(sets, "grams", _U), return_inverse=True)[1]
-    order = np.argsort(cls)
-    start = (np.cumsum(count) - count)[order]
-    cls, count = cls[order], count[order]
+    cls, order = np.unique(cls, return_index=True)
+    start, count = (np.cumsum(count) - count)[order], count[order]
     a, b = _column(pairs, "classes", np.int64), _column(pairs, "grams", np.int64)
     i, j = np.searchsorted(cls, a), np.searchsorted(cls, b)
     i[i == len(cls)] = j[j == len(cls)] = 0
@@ -376,43 +431,71 @@ def _power_of_two(x: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, x)))))
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, cls, n) and linked pairs of classes (a, b)."""
-    wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def _clusters(classes: DataFrame) -> DataFrame:
+    """cls and cluster of the classes that share a signature with another."""
+    keys = materialize(classes.select("cls", "keys").mapInArrow(_signatures, "key long, cls long"), "ngram-signatures")
+    least = keys.groupBy("key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    stars = keys.join(least, "key").filter("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct()
+    return components(stars).withColumnRenamed("node", "cls").withColumnRenamed("root", "cluster")
+
+
+def _linked_within(sets: DataFrame) -> DataFrame:
+    """What _within() finds in all clusters of two or more."""
+    rows = sets.filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / TOGETHER).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o"))
+    return rows.select("cluster", "i", "j", "block", "cls", "n", "copies", "grams").groupBy("cluster", "i", "j").applyInArrow(tidy(_within), _WITHIN)
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents (doc_id, cls, n), classes (cls, copies, least), the documents linked with each class (cls, others)
+    and edges (a, b) that join the classes of each component."""
+    spark = docs.sparkSession
+    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    members = materialize(wanted.mapInArrow(_describe, _DESCRIBED), "ngram-documents")
+    one = members.filter("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), *(F.min(c).alias(a) for c, a in (("doc_id", "least"), ("n", "n"), ("th", "th"), ("keys", "keys"))))
+    one = materialize(one, "ngram-one")
+    homes = one.drop("keys").join(_clusters(one), "cls", "left").withColumn("cluster", F.coalesce("cluster", "cls"))
+    classes = materialize(homes.join(homes.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")), "cluster"), "ngram-classes")
     size = wanted.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0
-    fragments = min(_power_of_two(size / FRAGMENT_BYTES), 1 << 16)
-    packed = wanted.mapInArrow(_scan(fragments), _PACKED).groupBy("frag").applyInArrow(_frequencies(fragments), _PACKED)
-    table = materialize(packed, "ngram-frequencies")
-    members = materialize(table.filter("frag < 0").select("doc_id", "cls", "n"), "ngram-documents")
-    sets = materialize(table.filter("frag >= 0").groupBy("frag").applyInArrow(_survivors, _SETS), "ngram-sets")
-    discard(table)
-    first = sets.agg(F.sum(F.greatest("prefix", F.lit(0)).cast("double"))).first()[0] or 0
-    many = _power_of_two(first / FRAGMENT_NGRAMS * 2)
-    found = materialize(sets.mapInArrow(_split(many, False), _PART).groupBy("frag").applyInArrow(_candidates, _PAIRS), "ngram-candidates")
+    sizes = classes.agg(*(F.sum(F.when(c, F.col("n")).otherwise(0).cast("double")) for c in (F.col("n") <= SMALL, F.col("n") * BOTTOM >= SMALL * TOP))).first()
+    texts = wanted.select("text", "th").mapInArrow(_once, "text string, th long")
+
+    def of(which: DataFrame) -> DataFrame:
+        """cls, n, cluster, copies, m and a text of some classes."""
+        return texts.join(which.select("th", "cls", "n", "cluster", "copies", "m").hint("shuffle_hash"), "th").drop("th")
+
+    late = spark.sparkContext.broadcast(Table(frequent(wanted, size)))
+    few, many = (_power_of_two((x or 0) * (1 - TOP / BOTTOM) / FRAGMENT_FIRST) for x in sizes)
+    found = materialize(of(classes).mapInArrow(_first(few, many, late), _PART).groupBy("frag").applyInArrow(tidy(_candidates(few, many)), _PAIRS), "ngram-candidates")
     hot = found.filter("a is null").hint("rebalance").mapInArrow(_expand, _PAIRS)
     pairs = materialize(found.filter("a is not null").unionByName(hot).select("a", "b", "na", "nb").distinct(), "ngram-pairs")
     discard(found)
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted_sets = materialize(sets.join(named, "cls", "left_semi"), "ngram-named")
-    discard(sets)
-    whole = wanted_sets.agg(F.sum(F.octet_length("grams").cast("double"))).first()[0] or 0
+    need = classes.filter("m > 1").unionByName(classes.filter("m = 1").join(named, "cls", "left_semi").select(*classes.columns))
+    sets = materialize(of(need).mapInArrow(_whole, _SETS), "ngram-sets")
+    within = materialize(_linked_within(sets), "ngram-within")
+    asked = sets.join(named, "cls", "left_semi")
+    whole = asked.agg(F.sum(F.octet_length("grams").cast("double"))).first()[0] or 0
     many = _power_of_two(whole / 8 / FRAGMENT_NGRAMS)
-    parts = wanted_sets.mapInArrow(_split(many, True), _PART).unionByName(pairs.select("a", "b").mapInArrow(_pairs_out(many), _PART))
-    counted = parts.groupBy("frag").applyInArrow(_overlaps, "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("both"))
+    parts = asked.mapInArrow(_split(many), _PART).unionByName(pairs.select("a", "b").mapInArrow(_pairs_out(many), _PART))
+    counted = parts.groupBy("frag").applyInArrow(tidy(_overlaps), "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("both"))
     linked = counted.join(pairs, ["a", "b"]).filter(F.expr(f"{BOTTOM} * both >= {TOP} * (na + nb - both)")).select("a", "b")
-    return members, materialize(linked, "ngram-links")
+    across = materialize(linked, "ngram-links")
+    discard(sets)
+    both = across.unionByName(across.selectExpr("b as a", "a as b")).join(classes.selectExpr("cls as b", "copies"), "b")
+    others = both.select(F.col("a").alias("cls"), F.col("copies").alias("others")).unionByName(within.filter("b is null").select(F.col("a").alias("cls"), "others"))
+    edges = within.filter("b is not null").select("a", "b").unionByName(across)
+    return members, classes, others.groupBy("cls").agg(F.sum("others").alias("others")), edges
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id and class_id of every document."""
-    members, linked = links(docs)
-    classes = members.filter("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"))
-    classes = materialize(classes, "ngram-classes")
-    both = linked.unionByName(linked.selectExpr("b as a", "a as b"))
-    beside = both.join(classes.selectExpr("cls as b", "copies"), "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "cls")
-    roots = components(linked).withColumnRenamed("node", "cls")
-    roots = roots.join(roots.join(classes, "cls").groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "component")
-    by_class = classes.join(beside, "cls", "left").join(roots, "cls", "left").select(
+    members, classes, others, edges = links(docs)
+    roots = components(edges).withColumnRenamed("node", "cls")
+    roots = roots.join(roots.join(classes.select("cls", "least"), "cls").groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "component")
+    by_class = classes.select("cls", "copies", "least").join(others, "cls", "left").join(roots, "cls", "left").select(
         "cls", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), F.coalesce("component", "least").alias("component_id")
     )
     return members.join(by_class, "cls", "left").select(

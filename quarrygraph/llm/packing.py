@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -28,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Hasher, chunks, materialize, text_bytes, word_spans
+from .common import Hasher, chunks, kept, materialize, text_bytes, tidy, word_spans
 from .tokens import tokenizer
 
 OPEN_WINDOWS, FAN_IN, LEAST_ROOM = 32, 64, 16
 #: Words and pieces that a worker remembers.
-WORDS, PIECES = 2_000_000, 300_000
+WORDS, PIECES = 1_000_000, 200_000
 #: The pre-tokenizer's pieces of lower-case words whose characters are all below U+0250, where normal
 #: form C and lower case are made character by character; what byte-level encoding writes for bytes.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -175,11 +174,6 @@ def _distinct(keys: np.ndarray, head: np.ndarray) -> np.ndarray:
     return order[np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])]
 
 
-@lru_cache(2)
-def _word_ids(path: str, end_id: int) -> WordIds:
-    return WordIds(path, end_id)
-
-
 class Packer:
     """A fixed number of open windows; a window is its number of ids and its pieces
     (doc_id, start, doc_tokens, ids). Closed windows go to self.out."""
@@ -252,8 +246,9 @@ def _rows(windows: list[list], part: int, first: int, level: int, closed: bool)
 
 def _first_level(size: int, path: str, end_id: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encode, packer, n = TaskContext.get().partitionId(), _word_ids(path, end_id), Packer(size), 0
-        for b in chunks(batches):
+        part, encode, packer, n = TaskContext.get().partitionId(), None, Packer(size), 0
+        for b in chunks(batches, keep=path):
+            encode = encode or kept(path, lambda: WordIds(path, end_id))
             docs = b.column("doc_id").to_pylist()
             ids, bounds = encode(*text_bytes(b.column("text")))
             for doc, lo, hi in zip(docs, bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -300,7 +295,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048
     parts = (table.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         level, parts = level + 1, -(-parts // FAN_IN)
-        merged = table.filter("not closed").groupBy(F.expr(f"part div {FAN_IN}")).applyInArrow(_merge(size, level, parts == 1), _SCHEMA)
+        merged = table.filter("not closed").groupBy(F.expr(f"part div {FAN_IN}")).applyInArrow(tidy(_merge(size, level, parts == 1)), _SCHEMA)
         table = materialize(merged, f"packing-{level}")
         done.append(table.filter("closed"))
         if parts == 1:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import SIZE, runs
-from .common import Hasher, chunks, materialize, text_bytes
+from .common import Hasher, chunks, materialize, text_bytes, tidy
 
 FRAGMENT_RUNS, BUCKET_SEGMENTS, HOT = 1 << 20, 1 << 12, 1 << 12
 ALL, SOME, SUPPLY, SPREAD = 1, 2, 4, 8  # what is known of a segment, and what its chunk has to do
@@ -391,11 +391,11 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT) ->
     n = packed.agg(F.sum(F.octet_length("gram").cast("double"))).first()[0] or 0
     fragments = _power_of_two(n / 8 / FRAGMENT_RUNS)
     named = packed.select("chunk", "gram", "segment").mapInArrow(_name(fragments), _ENTRY)
-    verdicts = materialize(named.groupBy("frag").applyInArrow(_judge(hot), _VERDICT), "suffix-verdicts")
+    verdicts = materialize(named.groupBy("frag").applyInArrow(tidy(_judge(hot)), _VERDICT), "suffix-verdicts")
     supplied = verdicts.agg(F.sum("supplied")).first()[0] or 0
     by_chunk = verdicts.groupBy("chunk").agg(F.collect_list(F.struct("gram", "segment", "flags")).alias("verdicts")).hint("shuffle_hash")
     segments = packed.drop("ids", "offsets").join(by_chunk, "chunk").mapInArrow(_supply(_power_of_two(supplied / BUCKET_SEGMENTS), fragments), _SUPPLIED)
-    found = materialize(segments.groupBy("frag").applyInArrow(_search, _FOUND), "suffix-found")
+    found = materialize(segments.groupBy("frag").applyInArrow(tidy(_search), _FOUND), "suffix-found")
     windows = found.groupBy("chunk").agg(F.collect_list(F.struct("windows")).alias("windows")).hint("shuffle_hash")
     news = by_chunk.join(windows, "chunk", "full").hint("shuffle_hash")
     out = packed.join(news, "chunk", "left").mapInArrow(_finish(keep_text), _RESULT)

@@ -16,14 +16,13 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes
+from .common import chunks, kept, text_bytes
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces remembered by a worker: those of its first texts stay, later ones come and go.
@@ -31,7 +30,6 @@ KEEP, MOST = 200_000, 400_000
 _UNSAFE = -1 << 40
 
 
-@lru_cache(2)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one worker a core
     from tokenizers import Tokenizer
@@ -81,17 +79,12 @@ class Lengths:
         return out
 
 
-@lru_cache(2)
-def _lengths(path: str) -> Lengths:
-    return Lengths(path)
-
-
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than limit tokens) of every document, without a shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _lengths(tokenizer_path)
-        for b in chunks(batches):
+        for b in chunks(batches, keep=tokenizer_path):
+            lengths = kept(tokenizer_path, lambda: Lengths(tokenizer_path))
             n_bytes = np.diff(text_bytes(b.column("text"))[1])
             n = np.array(lengths([t or "" for t in b.column("text").to_pylist()]), np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_bytes), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
