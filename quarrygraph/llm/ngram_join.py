@@ -7,8 +7,8 @@ With t the threshold, sets x and y that link share L of the n - ceil(t n) + L fi
 order, for any L up to ceil(t n). Any order is right; here the n-grams that a bounded sample finds frequent
 come last. The order is cut into fragments, and only the first n-grams are sent to them. With L of five times
 the fragments and one (less for small sets), a pair that links has six in common in some fragment; pairs that do are
-the candidates, so a passage of a few shared n-grams makes none. Small sets have fragments of their own, as few as their n-grams need, so that this holds for
-them too. Over the whole sets of the classes named by them, fragments of the order again count
+the candidates, so a passage of a few shared n-grams makes none. Small sets have fragments of their own, as few as their n-grams need, and as they cost little
+they come whole to each of them, where their candidates are verified at once. Over the whole sets of the classes named by them, fragments of the order again count
 their part of every candidate pair's overlap, and the parts are summed per pair.
 
 Large groups of near copies have as many pairs as the square of their size, so their pairs never move. Bands of
@@ -171,6 +171,10 @@ def _first(few: int, many: int, late):
                 take = np.where(which, np.minimum(n, n - -(-TOP * n // BOTTOM) + _common(n, fragments)), 0)
                 keep = at < take[row]
                 yield from _packed(b, row[keep], key[keep], fragments, behind)
+            keep = (n <= SMALL)[row]
+            for out in _packed(b, row[keep], key[keep], 1):
+                for f in range(few):
+                    yield out.set_column(0, "frag", pa.array([f], pa.int32())).set_column(1, "kind", pa.array([2], pa.int32()))
 
     return first
 
@@ -220,19 +224,19 @@ def _split(fragments: int):
     return split
 
 
-_PAIRS = "a long, b long, na long, nb long, left binary, right binary"
+_PAIRS = "a long, b long, na long, nb long, both long, left binary, right binary"
 _MEMBER = np.dtype([("cls", "<i8"), ("n", "<i8"), ("cluster", "<i8")])
 
 
-def _pair_rows(m: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    """Pairs of members that are in different clusters and whose sizes allow a link."""
+def _pair_rows(m: np.ndarray, i: np.ndarray, j: np.ndarray, both: np.ndarray | None = None) -> pa.RecordBatch:
+    """Pairs of members that are in different clusters and whose sizes allow a link; both is their overlap where it is known."""
     na, nb = m["n"][i], m["n"][j]
     ok = (m["cluster"][i] != m["cluster"][j]) & (BOTTOM * np.minimum(na, nb) >= TOP * np.maximum(na, nb))
     i, j = i[ok], j[ok]
     swap = m["cls"][i] > m["cls"][j]
     i, j = np.where(swap, j, i), np.where(swap, i, j)
     blank = pa.nulls(len(i), pa.binary())
-    return _batch(_PAIRS, m["cls"][i], m["cls"][j], m["n"][i], m["n"][j], blank, blank)
+    return _batch(_PAIRS, m["cls"][i], m["cls"][j], m["n"][i], m["n"][j], pa.nulls(len(i), pa.int64()) if both is None else both[ok], blank, blank)
 
 
 def _candidates(few: int, many: int):
@@ -240,7 +244,12 @@ def _candidates(few: int, many: int):
     blocks of members where an n-gram has more than HOT."""
 
     def candidates(table: pa.Table) -> pa.Table:
-        fragments = few if table["frag"][0].as_py() < few else many
+        import pyarrow.compute as pc
+
+        small = table["frag"][0].as_py() < few
+        fragments = few if small else many
+        sets = table.filter(pc.equal(table["kind"], 2))
+        table = table.filter(pc.equal(table["kind"], 0))
         cls, size, home, count = (_column(table, c, t) for c, t in (("classes", np.int64), ("sizes", np.int32), ("clusters", np.int64), ("counts", np.int32)))
         gram = _column(table, "grams", _U)
         one = np.zeros(len(cls), bool)  # a class that several tasks have sent counts once
@@ -267,7 +276,7 @@ def _candidates(few: int, many: int):
             slices = [inside[k : k + HOT].tobytes() for k in range(0, m, HOT)]
             rows = [(x, y) for k, x in enumerate(slices) for y in slices[k:]]
             blank = pa.nulls(len(rows), pa.int64())
-            out.append(_batch(_PAIRS, blank, blank, blank, blank, *zip(*rows)))
+            out.append(_batch(_PAIRS, *[blank] * 5, *zip(*rows)))
         keep = np.repeat(mixed & (length <= HOT), length)
         # a place of a list pairs with those behind it; places by class, in blocks of bounded pairs
         behind = (np.repeat(begin + length, length) - 1 - np.arange(len(who)))[keep]
@@ -278,6 +287,7 @@ def _candidates(few: int, many: int):
         total = np.concatenate([[0], np.cumsum(behind)])
         edge = np.flatnonzero(np.concatenate([[True], who[place][1:] != who[place][:-1], [True]])) if len(place) else np.zeros(1, np.int64)
         base, least = np.int64(len(member)), _common(member["n"], fragments)
+        whole = _Overlap(sets, member["cls"]) if small else None
         k = 0
         while k < len(edge) - 1:
             to = max(k + 1, int(np.searchsorted(total[edge], total[edge[k]] + 1_000_000, "right")) - 1)
@@ -289,9 +299,15 @@ def _candidates(few: int, many: int):
             code, times = np.unique(x[differ].astype(np.int64) * base + y[differ], return_counts=True)
             x, y = code // base, code % base
             enough = times >= -(-np.minimum(least[x], least[y]) // fragments)
-            out.append(_pair_rows(member, x[enough], y[enough]))
+            x, y = x[enough], y[enough]
+            if small:
+                both = whole(x, y)
+                linked = BOTTOM * both >= TOP * (member["n"][x] + member["n"][y] - both)
+                out.append(_pair_rows(member, x[linked], y[linked], both[linked]))
+            else:
+                out.append(_pair_rows(member, x, y))
             k = to
-        return pa.Table.from_batches(out, _batch(_PAIRS, [], [], [], [], [], []).schema)
+        return pa.Table.from_batches(out, _batch(_PAIRS, *[[]] * 7).schema)
 
     return candidates
 
@@ -374,37 +390,50 @@ def _pairs_out(fragments: int):
     return out
 
 
+class _Overlap:
+    """Overlaps of pairs of packed sets, which are named by their place in a list of classes."""
+
+    def __init__(self, sets: pa.Table, names: np.ndarray):
+        cls, count = _column(sets, "classes", np.int64), _column(sets, "counts", np.int32)
+        self.gram = np.unique(_column(sets, "grams", _U), return_inverse=True)[1]
+        known, first = np.unique(cls, return_index=True)
+        at = np.searchsorted(known, names)
+        at[at == len(known)] = 0
+        first = first[at] if len(known) else np.zeros(len(names), np.int64)
+        self.there = known[at] == names if len(known) else np.zeros(len(names), bool)
+        start = np.cumsum(count) - count
+        self.start, self.count = (x[first] if len(count) else np.zeros(len(names), np.int64) for x in (start, count))
+        self.mark = np.zeros(int(self.gram.max()) + 1 if len(self.gram) else 0, np.int8)
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        result = np.zeros(len(i), np.int64)
+        ask = np.flatnonzero(self.there[i] & self.there[j])
+        ask = ask[np.argsort(i[ask], kind="stable")]
+        a, b = i[ask], j[ask]
+        cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else [0]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            mine = self.gram[self.start[a[lo]] : self.start[a[lo]] + self.count[a[lo]]]
+            self.mark[mine] = 1
+            for k in range(lo, hi, 4096):  # bounded, however many partners a class has
+                other = b[k : min(k + 4096, hi)]
+                size = self.count[other].astype(np.int64)
+                end = np.cumsum(size)
+                where = np.repeat(self.start[other] - end + size, size) + np.arange(end[-1])
+                result[ask[k : k + len(other)]] = np.add.reduceat(self.mark[self.gram[where]], end - size, dtype=np.int64)
+            self.mark[mine] = 0
+        return result
+
+
 def _overlaps(table: pa.Table) -> pa.Table:
     """A fragment's part of the overlap of every candidate pair."""
     import pyarrow.compute as pc
 
     sets, pairs = table.filter(pc.equal(table["kind"], 0)), table.filter(pc.equal(table["kind"], 1))
-    cls, count = _column(sets, "classes", np.int64), _column(sets, "counts", np.int32)
-    gram = np.unique(_column(sets, "grams", _U), return_inverse=True)[1]
-    cls, order = np.unique(cls, return_index=True)
-    start, count = (np.cumsum(count) - count)[order], count[order]
     a, b = _column(pairs, "classes", np.int64), _column(pairs, "grams", np.int64)
-    i, j = np.searchsorted(cls, a), np.searchsorted(cls, b)
-    i[i == len(cls)] = j[j == len(cls)] = 0
-    there = (cls[i] == a) & (cls[j] == b) if len(cls) else np.zeros(len(a), bool)
-    a, b, i, j = a[there], b[there], i[there], j[there]
-    order = np.argsort(i, kind="stable")
-    a, b, i, j = a[order], b[order], i[order], j[order]
-    result = np.zeros(len(i), np.int64)
-    mark = np.zeros(int(gram.max()) + 1 if len(gram) else 0, np.int8)
-    cut = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1], [True]])) if len(i) else [0]
-    for lo, hi in zip(cut[:-1], cut[1:]):
-        mine = gram[start[i[lo]] : start[i[lo]] + count[i[lo]]]
-        mark[mine] = 1
-        for k in range(lo, hi, 4096):  # bounded, however many partners a class has
-            other = j[k : min(k + 4096, hi)]
-            size = count[other]
-            end = np.cumsum(size)
-            where = np.repeat(start[other] - end + size, size) + np.arange(end[-1])
-            result[k : k + len(other)] = np.add.reduceat(mark[gram[where]], end - size, dtype=np.int64)
-        mark[mine] = 0
-    some = result > 0
-    return pa.Table.from_batches([_batch("a long, b long, part long", a[some], b[some], result[some])])
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    part = _Overlap(sets, names)(place[: len(a)], place[len(a) :])
+    some = part > 0
+    return pa.Table.from_batches([_batch("a long, b long, part long", a[some], b[some], part[some])])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -470,7 +499,8 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     few, many = (_power_of_two((x or 0) * (1 - TOP / BOTTOM) / FRAGMENT_FIRST) for x in sizes)
     found = materialize(of(classes).mapInArrow(_first(few, many, late), _PART).groupBy("frag").applyInArrow(tidy(_candidates(few, many)), _PAIRS), "ngram-candidates")
     hot = found.filter("a is null").hint("rebalance").mapInArrow(_expand, _PAIRS)
-    pairs = materialize(found.filter("a is not null").unionByName(hot).select("a", "b", "na", "nb").distinct(), "ngram-pairs")
+    known = materialize(found.filter("both is not null").select("a", "b").distinct(), "ngram-known")
+    pairs = materialize(found.filter("a is not null and both is null").unionByName(hot).select("a", "b", "na", "nb").distinct(), "ngram-pairs")
     discard(found)
     named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     need = classes.filter("m > 1").unionByName(classes.filter("m = 1").join(named, "cls", "left_semi").select(*classes.columns))
@@ -482,7 +512,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     parts = asked.mapInArrow(_split(many), _PART).unionByName(pairs.select("a", "b").mapInArrow(_pairs_out(many), _PART))
     counted = parts.groupBy("frag").applyInArrow(tidy(_overlaps), "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("both"))
     linked = counted.join(pairs, ["a", "b"]).filter(F.expr(f"{BOTTOM} * both >= {TOP} * (na + nb - both)")).select("a", "b")
-    across = materialize(linked, "ngram-links")
+    across = materialize(linked.unionByName(known).distinct(), "ngram-links")
     discard(sets)
     both = across.unionByName(across.selectExpr("b as a", "a as b")).join(classes.selectExpr("cls as b", "copies"), "b")
     others = both.select(F.col("a").alias("cls"), F.col("copies").alias("others")).unionByName(within.filter("b is null").select(F.col("a").alias("cls"), "others"))
