@@ -38,6 +38,12 @@ RULES: dict[str, tuple[str, str, float | None, float | None, int]] = {
 }
 LEAST = 200
 
+#: RULES with fences that both repetition rules can reach. With quartiles at 0, which is usual, RULES puts the fence of
+#: dup_lines at 1,500,000 and that of repeat_words at 600,000, but the first ratio is under 1,000,000 and the base
+#: rules leave the second at 500,000 or less. Here the fence is then half of that range.
+REACH = {"dup_lines": 1_000_000, "repeat_words": 500_000}
+REACHABLE = {r: (*v[:4], REACH[r] // (2 * v[3]) if r in REACH else v[4]) for r, v in RULES.items()}
+
 
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Which keys occur twice or more."""
@@ -139,7 +145,7 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def thresholds(sketch: DataFrame, least: int = LEAST) -> DataFrame:
+def thresholds(sketch: DataFrame, least: int = LEAST, rules: dict = RULES) -> DataFrame:
     """Lowest and highest accepted value of each rule by (lang, source), one row a group."""
     fine, by_lang, overall = (_quartiles(sketch, k).alias(a) for k, a in ((["lang", "source"], "f"), (["lang"], "l"), ([], "o")))
     joined = fine.join(by_lang, F.col("f.lang").eqNullSafe(F.col("l.lang")) & (F.col("f.rule") == F.col("l.rule"))).join(
@@ -148,7 +154,7 @@ def thresholds(sketch: DataFrame, least: int = LEAST) -> DataFrame:
     pick = lambda q: F.when(F.col("f.docs") >= least, F.col(f"f.{q}")).when(F.col("l.docs") >= least, F.col(f"l.{q}")).otherwise(F.col(f"o.{q}"))
     rows = joined.select(F.col("f.lang").alias("lang"), F.col("f.source").alias("source"), F.col("f.rule").alias("rule"), pick("q1").alias("q1"), pick("q3").alias("q3"))
     fences = []
-    for rule, (_, _, low, high, slack) in RULES.items():
+    for rule, (_, _, low, high, slack) in rules.items():
         mine = lambda c, rule=rule: F.max(F.when(F.col("rule") == rule, c))
         spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(slack))
         fences.append((mine(F.col("q1") - low * spread) if low is not None else F.lit(None).cast("long")).cast("long").alias(f"{rule}_low"))
@@ -156,7 +162,7 @@ def thresholds(sketch: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.groupBy("lang", "source").agg(*fences)
 
 
-def quality(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def quality(docs: DataFrame, least: int = LEAST, rules: dict = RULES) -> DataFrame:
     """Counts, base_failed and kept of every document.
 
     The counts are made once and kept as a narrow table. Thresholds are one row a group; they
@@ -165,12 +171,12 @@ def quality(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     measured = materialize(measure(docs), "quality-counts")
     salts = 16
-    limits = thresholds(sketches(measured), least).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    limits = thresholds(sketches(measured), least, rules).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     m = measured.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)).cast("int")).alias("m")
     t = limits.alias("t")
     joined = m.join(t, F.col("m._salt").eqNullSafe(F.col("t._salt")) & F.col("m.lang").eqNullSafe(F.col("t.lang")) & F.col("m.source").eqNullSafe(F.col("t.source")), "left")
     good = F.lit(True)
-    for rule, (_, _, low, high, _) in RULES.items():
+    for rule, (_, _, low, high, _) in rules.items():
         value = ratio(rule)
         if low is not None:
             good = good & (value >= F.col(f"{rule}_low"))
@@ -182,13 +188,13 @@ def quality(docs: DataFrame, least: int = LEAST) -> DataFrame:
     )
 
 
-def _oracle() -> str:
+def _oracle(rules: dict = RULES) -> str:
     ratios = " UNION ALL ".join(
-        f"SELECT rid, '{r}' AS rule, CASE WHEN {b} > 0 THEN (1000000 * {a}) // {b} ELSE 0 END AS v FROM f" for r, (a, b, *_) in RULES.items()
+        f"SELECT rid, '{r}' AS rule, CASE WHEN {b} > 0 THEN (1000000 * {a}) // {b} ELSE 0 END AS v FROM f" for r, (a, b, *_) in rules.items()
     )
     bad = " OR ".join(
         f"(rule = '{r}' AND ({' OR '.join(x for x in (low is not None and f'v < q1 - {low} * greatest(q3 - q1, {slack})', high is not None and f'v > q3 + {high} * greatest(q3 - q1, {slack})') if x)}))"
-        for r, (_, _, low, high, slack) in RULES.items()
+        for r, (_, _, low, high, slack) in rules.items()
     )
     level = lambda name, keys: (
         f"{name} AS (SELECT {keys}rule, min(bucket) FILTER (4 * below >= total) AS q1, min(bucket) FILTER (4 * below >= 3 * total) AS q3, max(total) AS docs FROM ("
@@ -214,4 +220,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLE = _oracle()
+ORACLE, REACHABLE_ORACLE = _oracle(), _oracle(REACHABLE)

@@ -56,6 +56,24 @@ def test_quality_verdict(spark):
     assert not kept & {j[0] for j in junk} and {c[0] for c in clean} <= kept and {o[0] for o in other} <= kept
 
 
+def test_quality_every_rule_fires(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(f"word{rng.randrange(9000)}" for _ in range(n))
+    clean = [(i, "\n".join(prose(8) for _ in range(10)), "en", "a") for i in range(300)]
+    again = " ".join(f"again{k}" for k in range(8))
+    planted = {
+        "symbols": "\n".join(" ".join(f"word{rng.randrange(9000)}#" for _ in range(8)) for _ in range(10)),
+        "word_length": "\n".join(" ".join("t" * 40 + str(rng.randrange(9000)) for _ in range(8)) for _ in range(10)),
+        "dup_lines": "\n".join([x for k in range(10) for x in [f"two{k} words{k}"] * 4] + [prose(100)]),  # few words, many lines
+        "repeat_words": " ".join([prose(15), again, prose(15), again, again, prose(15)]),
+    }
+    bad = [(1000 + k, t, "en", "a") for k, t in enumerate(planted.values())]
+    rows = {r.doc_id: r for r in quality.quality(spark.createDataFrame(clean + bad, "doc_id long, text string, lang string, source string"), rules=quality.REACHABLE).collect()}
+    assert not any(rows[b[0]].base_failed for b in bad) and not any(rows[b[0]].kept for b in bad) and all(rows[c[0]].kept for c in clean)
+    got = rows[1002], rows[1003]
+    assert got[0].n_dup_lines == 30 and got[1].n_dup_lines == 0 and 0 < got[1].n_repeat_words < got[1].n_words / 2
+
+
 def test_quality_sketch_merges(spark, docs):
     m = quality.measure(docs)
     whole = {tuple(r) for r in quality.sketches(m).groupBy("rule", "bucket").sum("n").collect()}
