@@ -25,6 +25,19 @@ def content_hash_dedupe(spark, sf_dir):
     return h.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter("n >= 2")
 
 
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(f"""WITH h AS (SELECT doc_id, 'sql:'||substr(sha1(translate(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' ', 'g'), ' '), '{_CAPITALS}', '{_SMALL}')), 1, 16) AS id FROM documents)
+SELECT id, count(*) AS n, min(doc_id) AS first FROM h GROUP BY id HAVING count(*) >= 2""")
+def content_hash_all(spark, sf_dir):
+    """Copies among all documents, in any script. Only A to Z are the same in either case; null text counts as empty."""
+    d = table(spark, sf_dir, "documents")
+    spaced = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\n\\r]+", " "))
+    h = d.select("doc_id", ids.content_id("sql", F.translate(spaced, _CAPITALS, _SMALL)).alias("id"))
+    return h.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter("n >= 2")
+
+
 @query(f"SELECT item_id, array_to_string({_sql_tokens('text')}, ' ') AS terms FROM benchmark")
 def tokenise_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(search.tokens(F.col("text")), " ").alias("terms"))
