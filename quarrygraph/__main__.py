@@ -62,10 +62,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         show(inventory.label_counts(g).orderBy("label"))
         return 0
     if o.command == "federate":
-        nodes, edges = merge.federate([(e.partition("=")[0], Graph.load(spark, e.partition("=")[2])) for e in o.estates])
-        merged, conflicts = merge.merge_nodes(nodes)
-        kept = merge.merge_edges(edges, merged)
-        Graph(merged.withColumn("props", F.map_concat("props", F.create_map(F.lit("estates"), F.array_join("estates", ";")))).drop("estates"), kept.drop("estate", "rank")).save(o.out)
+        g, conflicts = merge.federated([(e.partition("=")[0], Graph.load(spark, e.partition("=")[2])) for e in o.estates])
+        g.save(o.out)
         show(conflicts)
         return 0
     g = Graph.load(spark, o.graph)

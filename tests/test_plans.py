@@ -75,6 +75,25 @@ def test_merge(spark):
     assert {(r.key, r.kept, r.lost, r.resolved_by) for r in lost.collect()} == {("rows", "2", "1", "authority"), ("rows", "2", "3", "authority"), ("label", "Table", "View", "first")}
 
 
+def test_federated_rules_and_questions(spark):
+    def estate(table, *statements):
+        n = [("db:T", "DbTable", "T", {}), ("db:" + table, "DbTable", table, {}), *((s, "SqlStatement", s, {"verb": "UPDATE"}) for s in statements), ("issue:1", "Issue", "bad", {"rule": "R-1", "severity": "HIGH", "category": "data"})]
+        e = [(s, t, "WRITES_TO", {}, k) for k, s in enumerate(statements) for t in ("db:T", "db:" + table)]
+        return Graph(spark.createDataFrame([(*r, k) for k, r in enumerate(n)], NODES), spark.createDataFrame(e, EDGES))
+
+    g, _ = merge.federated([("one", estate("A", "sql:1", "sql:2")), ("two", estate("B", "sql:1"))])
+    assert g.nodes.columns == ["id", "label", "name", "props", "ordinal"] and g.edges.columns == ["src", "dst", "type", "props", "ordinal"]
+    assert {r.id: (r.props["estate"], r.props["estates"]) for r in g.by_label("DbTable").collect()} == {"db:T": ("one", "one;two"), "db:A": ("one", "one"), "db:B": ("two", "two")}
+    found = {(r.rule, r.target, r.message) for r in rules.issues(g, ALL["federated"]()).collect()}
+    assert {("X-001", "db:T", "one, two"), ("X-004", "one/sql:1", "one, two")} == {f for f in found if f[0] in ("X-001", "X-004")}
+    ask = {f.__name__[:3]: f for f in COOKBOOK.values()}
+    assert {(r.estate, r.label, r.n) for r in ask["e01"](g).collect()} == {("one", "DbTable", 2), ("one", "SqlStatement", 2), ("one", "Issue", 1), ("two", "DbTable", 1), ("two", "SqlStatement", 1), ("two", "Issue", 1)}
+    assert [(r.table, list(r.writers)) for r in ask["e03"](g).collect()] == [("db:T", ["one", "two"])]
+    assert {(r.estate, r.label, r.n, r.hops) for r in ask["e06"](g, "T").collect()} == {("one", "SqlStatement", 2, 1), ("two", "SqlStatement", 1, 1)}
+    assert {(r.estate, r.n) for r in ask["e10"](g).collect()} == {("one", 1), ("two", 1)}
+    assert [(r.key, list(r.estates), r.n) for r in ask["e11"](g).collect()] == [("sql:1", ["one", "two"], 2)]
+
+
 def test_search(spark):
     docs = spark.createDataFrame([(1, "red fish blue fish", "a"), (2, "one fish", "red"), (3, "", None)], "doc long, body string, name string")
     idx = search.index(docs, {"body": 1.0, "name": 3.0})
