@@ -5,7 +5,8 @@ inline white space collapses, blocks stand on their own lines with the blank lin
 margins give, list items get bullets or numbers and are indented, pre keeps its spacing, and tables
 are laid out in aligned columns with spanned cells. Visibility rules leave out head, script,
 style, template and other elements that are never shown, hidden attributes, and inline display:none
-and visibility:hidden. All other text is emitted. The open elements are a stack of our own, so
+and visibility:hidden. Of a select the chosen option is shown (all of them in a list box), of SVG what its
+text elements and foreign objects hold, of MathML all but annotations. All other text is emitted. The open elements are a stack of our own, so
 nesting of any depth is fine, and each page is read once.
 
 Defined results: null or empty HTML gives empty text; broken markup is read as far as it goes; an
@@ -31,7 +32,13 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"hidden|display|visibility|open|colspan|rowspan|start|value|type|alt", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("head script style template noscript title datalist iframe object audio video canvas svg math select noframes noembed".split())
+NEVER = frozenset("head script style template noscript title datalist iframe object audio video canvas noframes noembed".split())
+#: Never shown within SVG and MathML.
+FOREIGN = {"svg": frozenset("defs desc metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split()), "math": frozenset(["annotation", "annotation-xml", "mphantom"])}
+LABEL = ("text", "foreignobject")
+#: Start tags that end SVG and MathML, if not within one of the second set.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDS_HTML = {"foreignobject", "annotation-xml", "desc", "title", "mi", "mo", "mn", "ms", "mtext"}
 RAW = frozenset("script style title textarea noscript iframe noframes noembed xmp".split())
 #: Blocks and the blank lines above and below them.
 MARGIN = dict.fromkeys("address article aside body center details dialog dd div dt fieldset figcaption footer form header hgroup html legend li main nav option search section summary caption".split(), 0)
@@ -148,9 +155,11 @@ class Renderer:
         self.pre = 0
         self.count = {"tables": 0, "items": 0}
         self.open: dict[str, int] = {}
+        #: of the open select: text, selected, disabled, hidden and whether it is a group's label
+        self.choices: list[list] = []
 
     def text(self, s: str) -> None:
-        if self.hidden or self.unseen or not s:
+        if self.hidden or self.unseen or not s or self.open.get("svg") and not any(map(self.open.get, LABEL)):
             return
         if "&" in s:
             s = unescape(s)
@@ -172,6 +181,8 @@ class Renderer:
                 return
 
     def start(self, tag: str, attributes: str) -> None:
+        if tag in BREAKOUT:
+            self._close_up_to(set(FOREIGN), HOLDS_HTML)
         if tag in CLOSES_P:
             self._close_up_to({"p"}, {"table", "td", "th", "caption", "button", "object"})
         if tag in IMPLIED:
@@ -179,12 +190,19 @@ class Renderer:
             if tag in ("thead", "tbody", "tfoot", "tr"):
                 self._close_up_to({"td", "th"}, {"table"})
                 self._close_up_to({"tr"}, {"table"})
+        if tag in ("select", "input", "textarea"):
+            self._close_up_to({"select"}, set())
+        chosen = tag in ("option", "optgroup") and bool(self.open.get("select"))
         found = {}
-        if attributes and _HIDING.search(attributes):
+        if attributes and (chosen or tag == "select" or _HIDING.search(attributes)):
             for name, a, b, c in _ATTR.findall(attributes):
                 found.setdefault(name.lower(), a or b or c)
         style = found.get("style", "").lower().replace(" ", "") if found else ""
         hides = tag in NEVER or "hidden" in found or "display:none" in style or (tag == "dialog" and "open" not in found)
+        foreign = next((k for k in FOREIGN if self.open.get(k)), "")
+        hides = hides or bool(foreign) and tag in FOREIGN[foreign]
+        if chosen:
+            found["=off"], hides = hides, False
         unseen = self.unseen
         if "visibility:" in style:
             unseen = "visibility:hidden" in style or "visibility:collapse" in style
@@ -211,9 +229,25 @@ class Renderer:
         self.stack.append((tag, hidden, unseen, undo))
         self.open[tag] = self.open.get(tag, 0) + 1
         self.hidden, self.unseen = hidden, unseen
+        if attributes.endswith("/") and (foreign or tag in FOREIGN):
+            self._pop()
 
     def _enter(self, tag: str, found: dict) -> tuple:
         w = self.writer
+        if tag == "select":
+            saved = (w, self.lists, self.pre, self.choices, "multiple" in found or _number(found.get("size"), 1, 1000, 1) > 1)
+            self.writer, self.lists, self.pre, self.choices = Writer(), [], 0, []
+            return saved
+        if "=off" in found:
+            group = tag == "optgroup"
+            self.choices.append([unescape(found.get("label", "")), "selected" in found, "disabled" in found, found["=off"], group])
+            if group:
+                return ()
+            self.writer = Writer()
+            return (w, self.choices[-1])
+        if tag in LABEL and self.open.get("svg"):
+            w.text(" ")
+            return ()
         if tag in _CELL and self.tables and self.writers:
             if tag == "caption":
                 w.block(0)
@@ -264,6 +298,29 @@ class Renderer:
         if hidden:
             return
         w = self.writer
+        if tag == "select":
+            choices = self.choices
+            self.writer, self.lists, self.pre, self.choices, every = saved
+            if every:
+                for label, _, _, off, _ in choices:
+                    if label and not off:
+                        self.writer.block(0)
+                        self.writer.text(label)
+                        self.writer.block(0)
+                return
+            options = [c for c in choices if not c[4]]
+            shown = next((c for c in reversed(options) if c[1]), None) or next((c for c in options if not c[2]), None)
+            if shown and shown[0]:
+                self.writer.text(shown[0])
+            return
+        if tag == "option" and saved:
+            w.block(0)
+            self.writer, choice = saved
+            choice[0] = choice[0] or " ".join(x.strip() for x in w.lines if x.strip())
+            return
+        if tag in LABEL and self.open.get("svg"):
+            w.text(" ")
+            return
         if tag in ("td", "th") and saved:
             w.block(0)
             self.writer, self.lists, self.pre, across, down = saved
@@ -279,7 +336,7 @@ class Renderer:
             self.writers.pop()
             w.block(0)
             for line in self.tables.pop().lines():
-                w.put(line) if line else None
+                w.put(line)
         elif tag in ("ul", "ol", "menu"):
             if self.lists:
                 self.lists.pop()
@@ -326,7 +383,7 @@ def render(html: str | None) -> tuple[str, int, int]:
             r.end(tag)
             continue
         r.start(tag, m[3])
-        if tag in RAW:
+        if tag in RAW and not (m[3].endswith("/") and any(map(r.open.get, FOREIGN))):
             close = re.compile(f"</{tag}[\\s/>]", re.I).search(html, at)
             stop = close.start() if close else n
             r.text(html[at:stop])

@@ -34,6 +34,23 @@ def test_visibility():
     assert text("<head><title>t</title></head><body>b<input value=v><input type=hidden value=h><img alt='pic'></body>") == "bvpic"
 
 
+def test_formulas_pictures_and_choices():
+    assert text("a <math><mi>x</mi><mo>=</mo><mn>1</mn><semantics><annotation>TeX</annotation></semantics></math> b") == "a x=1 b"
+    assert text("a<svg>loose<title>t</title><desc>d</desc><defs><text>n</text></defs><defs/><title/><path d='M'/><text>One</text><text><tspan>Two</tspan></text></svg>b") == "a One Two b"
+    assert text("<svg><foreignObject><p>in</p></foreignObject></svg>out") in ("in\n\nout", "in\nout", "in out")
+    assert text("<svg><g><p>never closed") == "never closed" and text("<p hidden off>a</p><p off value>b") == "b"
+    assert text("x <select>no<option>a<option selected>b &amp; c<option>d</select> y") == "x b & c y"
+    assert text("<select><option disabled>a<option>b<option>c</select>") == "b" and text("<select></select>z") == "z"
+    assert text("<select><option disabled selected hidden>Choose<option>b</select>") == "Choose"
+    assert text("<select multiple><optgroup label=G><option>a<option hidden>h<option label=L>b</optgroup></select>") == "G\na\nL"
+    assert text("<div hidden><select><option>a</select></div><table><tr><td><select><option>a<option>b<td>c</table>") == "a  c"
+    assert text("<select><option>a<input value=v>") == "av" and text("<pre><select>\n<option>\na\n</option></select></pre>") == "a"
+
+
+def test_blank_lines_of_cells():
+    assert text("<table><tr><td><p>a</p><p>b</p><td>c</table>") == "a  c\n\nb"
+
+
 def test_broken():
     assert text(None) == "" and text("") == "" and text("<") == "<" and text("a < b") == "a < b"
     assert text("</div>x</p>y<b") == "x\n\ny<b" or text("</div>x</p>y<b").startswith("x")
