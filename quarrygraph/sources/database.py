@@ -71,16 +71,18 @@ def database_graph(files: DataFrame, owner: str = "APP", runtime: frozenset[str]
     objs = rounds.hold(objects(files, owner))
     made = objs.filter(F.col("kind").isin(*_LABEL))
     label = F.create_map(*[x for k, v in _LABEL.items() for x in (F.lit(k), F.lit(v))])[F.col("kind")]
+    us = rounds.hold(units(objs).withColumn("f", sqltext.plsql_facts(F.col("text"), runtime)))
+    flags = {k: F.col(f"f.{c}") for k, c in (("hasExceptionHandler", "exception"), ("othersNull", "others_null"), ("commits", "commits"), ("dynamicSql", "dynamic_sql"), ("concatenatesInput", "concatenates"))}
+    trigger = us.filter("unit_kind = 'TRIGGER'").select(F.col("unit_id").alias("object_id"), "ordinal", F.lit("TRIGGER").alias("kind"), _map(**flags).alias("_flags"))
+    flagged = made.join(trigger, ["object_id", "ordinal", "kind"], "left")
     node_parts = [
         _nodes(objs.filter("kind <> 'UNPARSED'").select("owner").distinct(), F.concat(F.lit("schema:"), "owner"), "DbSchema", F.col("owner"), _map(origin=F.lit("ddl")), F.lit(0)),
-        _nodes(made, F.col("object_id"), label, F.col("name"), _map(owner=F.col("owner"), path=F.col("path"), line=F.col("line"), origin=F.lit("ddl"), target=F.when(F.col("kind") != "VIEW", F.col("target"))), F.col("ordinal")),
+        _nodes(flagged, F.col("object_id"), label, F.col("name"), F.map_concat(_map(owner=F.col("owner"), path=F.col("path"), line=F.col("line"), origin=F.lit("ddl"), target=F.when(F.col("kind") != "VIEW", F.col("target"))), F.coalesce("_flags", F.create_map().cast("map<string,string>"))), F.col("ordinal")),
     ]
     column = objs.filter("kind = 'TABLE'").select("object_id", "ordinal", F.explode("columns").alias("c"))
     column_id = F.concat("object_id", F.lit("."), "c.name")
     node_parts.append(_nodes(column, column_id, "DbColumn", F.col("c.name"), _map(dataType=F.col("c.type"), nullable=F.col("c.nullable"), position=F.col("c.position")), F.col("ordinal") + F.col("c.position")))
-    us = rounds.hold(units(objs).withColumn("f", sqltext.plsql_facts(F.col("text"), runtime)))
     m = metrics(F.col("text"))
-    flags = {k: F.col(f"f.{c}") for k, c in (("hasExceptionHandler", "exception"), ("othersNull", "others_null"), ("commits", "commits"), ("dynamicSql", "dynamic_sql"), ("concatenatesInput", "concatenates"))}
     node_parts.append(_nodes(us.filter("unit_kind <> 'TRIGGER'"), F.col("unit_id"), "DbProgramUnit", F.col("name"), _map(owner=F.col("owner"), package=F.col("package"), unitKind=F.col("unit_kind"), path=F.col("path"), **m, **flags), F.col("ordinal")))
     edge_parts = [
         _edges(made, F.concat(F.lit("schema:"), "owner"), F.col("object_id"), "CONTAINS"),

@@ -2,7 +2,8 @@
 
 import pytest
 
-from quarrygraph.operators import traverse
+from quarrygraph.operators import rules, traverse
+from quarrygraph.plans import catalog
 from quarrygraph.sources import database
 
 SCRIPTS = [
@@ -62,6 +63,19 @@ def test_flags_and_coverage(graph):
     assert c.parseQuality == 100.0 and c.unresolved == 1
 
 
+def test_commit_in_trigger(spark):
+    text = """create table t (a number);
+create or replace trigger bad_trg after insert on t for each row begin update t set a = 1 where a = 2; commit; end;
+/
+create or replace trigger good_trg after insert on t for each row begin update t set a = 1 where a = 2; end;
+/
+"""
+    g = database.database_graph(spark.createDataFrame([("a.sql", text)], "path string, text string"))
+    p = {r.name: r.props for r in g.by_label("DbTrigger").collect()}
+    assert set(p) == {"BAD_TRG", "GOOD_TRG"} and p["BAD_TRG"]["target"] and p["BAD_TRG"]["commits"] == "true" and p["GOOD_TRG"]["commits"] == "false"
+    assert [r.target for r in rules.issues(g, catalog.database()).filter("rule = 'O-CORR-002'").collect()] == ["db:APP.BAD_TRG"]
+
+
 def test_blast_radius(graph):
     up = {r.id for r in traverse.blast_radius(graph, ["db:APP.PEOPLE"], "up", 6, database.WEIGHTS, database.STRUCTURAL).collect()}
     assert {"db:APP.INVOICES", "db:APP.OPEN_V", "db:APP.INV_TRG", "db:APP.INV_PKG.PUT"} <= up
