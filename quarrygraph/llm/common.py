@@ -52,6 +52,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

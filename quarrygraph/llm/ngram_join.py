@@ -3,57 +3,69 @@
 A document's set is its distinct word shingles, as 64-bit hashes. Documents with equal sets are a
 class, and classes are joined, each with its number of documents, so copies are never paired.
 
-With t the threshold, sets x and y that link share L of the n - ceil(t n) + L first n-grams of each in a global
-order, for any L up to ceil(t n). Any order is right; here the n-grams that a bounded sample finds frequent
-come last. The order is cut into fragments, and only the first n-grams are sent to them. With L of five times
-the fragments and one (less for small sets), a pair that links has six in common in some fragment; pairs that do are
-the candidates, so a passage of a few shared n-grams makes none. Small sets have fragments of their own, as few as their n-grams need, and as they cost little
-they come whole to each of them, where their candidates are verified at once. Over the whole sets of the classes named by them, fragments of the order again count
-their part of every candidate pair's overlap, and the parts are summed per pair.
-
-Large groups of near copies have as many pairs as the square of their size, so their pairs never move. Bands of
-minima, as signatures, first gather classes that are likely near copies into clusters; what they miss costs only
-time, never a link. The pairs within a cluster are compared in one task (or, for a large cluster, in
-one task for each two blocks of it): again fragment by fragment, each a product of 0/1 matrices, summed per pair.
-Only the number of links of each class and a spanning forest of the links come out. Candidates of different
-clusters go the way above.
-
-Rows that move are packed: one row holds what a slice of texts has for one fragment, so counts of rows
-stay far below counts of n-grams. Of equal texts a task sends one. An n-gram shared by more than HOT classes
-has its pairs made block by block in separate tasks. No partner or candidate is left out. Components are found by
+The global n-gram order (of the mixed hashes) is cut into fragments, and a set into a segment for each. With t the threshold, a pair
+links if the overlap, which is the sum of its fragments' overlaps, is at least t / (1 + t) of the sum of the sizes.
+
+1. Candidates. If a pair links, then so do its segments in some fragment, or the sum would fall short. In each fragment the
+   segments are joined by themselves: rare n-grams first, the first m - ceil(t m) + 1 of m n-grams as prefixes, with bounds
+   by size and place before overlaps are counted. Equal segments are one, and members are first compared with the first
+   one of their list, so large groups of near copies become one component without a look at their pairs. What
+   leaves a fragment is a spanning forest of its candidates, never more rows than it has classes. The components of all
+   forests are clusters; every pair that links lies within one.
+2. Counts. For each two blocks of a cluster (most have one block) and each fragment, the part of every pair's overlap is counted on its own.
+3. Sums. The parts are summed per pair. The number of documents linked with each class and a spanning forest of the links come out.
+
+How it grows. Sets are joined by bands of size, one task for a fragment of a band, so every set moves once, and once more
+if it can link with sets of the next band. A band has as many fragments as its n-grams need (Sizes.group_ngrams is what a task holds), but not
+more than leave Sizes.least_segment n-grams in its smallest set's segments, so that chance and shared passages make no
+candidates. Beyond that a fragment is divided by the n-grams of the segments' prefixes: each segment goes to the parts
+that hold one of them, which is every part that it could find a partner in; at most 0.4 m + 1 times. No partner or
+candidate is left out.
+
+Rows that move are packed: one row holds what a slice of texts has for one fragment. Of equal sets a task sends one.
+Texts move only if their class is in a cluster, told by a bitmap of bounded size. Components are found by
 alternating large and small stars.
 
 Defined results: null or wordless text has an empty set, links with nothing and is its own component. A text
 of fewer words than a shingle is one n-gram. Repeated ids count as separate documents; the component is
-the smallest id. An empty table gives an empty result. N-grams are told apart by 64-bit hashes, and so are sets.
+the smallest id. An empty table gives an empty result. Columns other than doc_id and text are not read, whatever their
+names. N-grams are told apart by 64-bit hashes, and so are sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Hasher, chunks, discard, materialize, mix, rows_of, text_bytes, tidy, word_spans
-from .ppm import Table, Tally
+from .common import LOWER, Hasher, chunks, discard, materialize, mix, quoted, rows_of, text_bytes, tidy, word_spans
 
 WORDS, TOP, BOTTOM = 2, 60, 100  # shingles of two words, Jaccard 60/100
-#: First n-grams, and n-grams of whole sets, in a fragment; classes of an n-gram whose pairs one task makes.
-FRAGMENT_FIRST, FRAGMENT_NGRAMS, HOT = 1 << 22, 1 << 20, 16_384
-#: Sets up to this size are compared apart from those of TOP/BOTTOM of it and more; a pair that links is in one or the other.
-SMALL = 100
-#: Bytes of text that the order is learned from, and frequent n-grams that come last in it.
-SAMPLE_BYTES, FREQUENT = 64_000_000, 1 << 20
-#: Signatures that put near copies into one cluster: bands of minima over bins of the hash.
-BANDS, MINIMA = 8, 6
-#: Classes of a cluster that one task compares; n-grams of a fragment of them.
-TOGETHER, COLUMNS = 2048, 4096
+#: Least sizes of the bands; a set links only with sets of its own band and the next ones on either side.
+EDGES = np.array([1, *(64 * 4**k for k in range(20))], np.int64)
+#: Words of 64 bits of the bitmap of needed texts.
+BITMAP = 1 << 20
 _U = np.uint64
 
 
+class Sizes(NamedTuple):
+    """How the work is divided. The result is the same for all values."""
+
+    group_ngrams: int = 1 << 22  # that a task of the first step joins
+    least_segment: int = 16  # n-grams that a fragment has of its band's smallest set
+    pairs: int = 1 << 20  # looked at together
+    fragments: int = 4  # of a cluster's sets, or more where they are long
+    block_ngrams: int = 1 << 22  # of two blocks, in a fragment
+    together: int = 2048  # classes of a block
+    columns: int = 4096  # n-grams compared at a time
+    large: int = 256  # classes beyond which a cluster has tasks of its own
+    bin_ngrams: int = 1 << 21  # of small clusters in a task
+
+
 def shingles(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Rows and hashes of the distinct shingles, by row."""
     starts, ends, bounds = word_spans(data, off)
@@ -95,345 +107,250 @@ def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.concatenate([np.empty(0, dtype), *(np.frombuffer(x, dtype) for x in table.column(name).to_pylist())])
 
 
-_DESCRIBED = "doc_id long, cls long, n long, th long, keys binary"
+def _least(total):
+    """The least overlap of two sets that link, of the sum of their sizes."""
+    return -(-TOP * total // (TOP + BOTTOM))
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's class, number of n-grams and signatures: keys that sets of much the same n-grams are likely to share."""
-    bins = BANDS * MINIMA
-    for b in chunks(batches):
-        row, key = shingles(*text_bytes(b.column("text")))
-        rows = b.num_rows
-        n = np.bincount(row, minlength=rows)
-        total = np.zeros(rows, _U)
-        np.add.at(total, row, mix(key ^ _U(0x5851F42D4C957F2D)))
-        cls = mix(total + n.astype(_U)).view(np.int64)
-        h = mix(key ^ _U(0xA0761D6478BD642F))
-        place = row * bins + (h % _U(bins)).astype(np.int64)
-        least = np.full(rows * bins, np.iinfo(np.uint64).max, _U)
-        np.minimum.at(least, place, h)
-        parts = least.reshape(rows, BANDS, MINIMA)
-        keys = np.broadcast_to(np.arange(BANDS, dtype=_U), (rows, BANDS)).copy()
-        for k in range(MINIMA):
-            keys = mix(keys * _U(3) + parts[:, :, k])
-        yield _batch(_DESCRIBED, b.column("doc_id"), pa.array(cls, mask=n == 0), n, b.column("th"), [k.tobytes() for k in keys])
-
-
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keys = np.frombuffer(b"".join(b.column("keys").to_pylist()), np.int64)
-        yield _batch("key long, cls long", keys, np.repeat(b.column("cls").to_numpy(), BANDS))
-
-
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Without texts that the task has had before, as far as it remembers."""
-    seen: set[int] = set()
-    for b in chunks(batches):
-        th = b.column("th").to_pylist()
-        new = [x not in seen and not seen.add(x) for x in th]
-        if len(seen) > 100_000:
-            seen = set()
-        yield b.filter(pa.array(new))
+def _prefix(m: np.ndarray) -> np.ndarray:
+    """N-grams of a segment of m, of which it shares one with any that it links with."""
+    return m - -(-TOP * m // BOTTOM) + 1
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally = Tally()
-    for b in chunks(batches):
-        tally.add(shingles(*text_bytes(b.column("text")))[1])
-    k, n = tally.total()
-    often = n > 1
-    yield _batch("key long, n long", k[often].view(np.int64), n[often])
+def _places(who: np.ndarray) -> np.ndarray:
+    """Each item's place among the items of the same value, which lie side by side."""
+    begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.empty(0, np.int64)
+    return np.arange(len(who)) - np.repeat(begin, np.diff(np.append(begin, len(who))))
 
 
-def frequent(texts: DataFrame, size: float) -> np.ndarray:
-    """N-grams that are frequent in a sample of about SAMPLE_BYTES, the most frequent last. Both what the sample has
-    and what comes to the driver are bounded."""
-    share = int(min(1.0, SAMPLE_BYTES / max(1.0, size)) * (1 << 30))
-    sample = texts.filter(F.pmod(F.col("th"), F.lit(1 << 30)) < share).select("text")
-    top = sample.mapInArrow(_tally, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
-    return top["key"].to_numpy().view(_U)[::-1].copy()
+# --- documents and their classes ----------------------------------------------------------
 
 
-def _first(few: int, many: int, late):
-    """The first n-grams of each set, packed by fragment: few for small sets, and behind them many for the others."""
+def _classes(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class and number of n-grams of each row."""
+    n = np.bincount(row, minlength=rows)
+    total = np.zeros(rows, _U)
+    np.add.at(total, row, mix(key ^ _U(0x5851F42D4C957F2D)))
+    return mix(total + n.astype(_U)).view(np.int64), n
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
-            rank = late.value
-            row, key = shingles(*text_bytes(b.column("text")))
-            place = rank(key)  # -1 where it isn't frequent
-            order = np.where(place < 0, mix(key) >> _U(14), _U(1 << 50) + place.astype(_U))  # of 51 bits, below the row's 13
-            order = np.argsort(row.astype(_U) << _U(51) | order)
-            row, key = row[order], key[order]
-            n = np.bincount(row, minlength=b.num_rows)
-            at = np.arange(len(row)) - (np.cumsum(n) - n)[row]
-            for fragments, which, behind in ((few, n <= SMALL, 0), (many, BOTTOM * n >= TOP * SMALL, few)):
-                take = np.where(which, np.minimum(n, n - -(-TOP * n // BOTTOM) + _common(n, fragments)), 0)
-                keep = at < take[row]
-                yield from _packed(b, row[keep], key[keep], fragments, behind)
-            keep = (n <= SMALL)[row]
-            for out in _packed(b, row[keep], key[keep], 1):
-                for f in range(few):
-                    yield out.set_column(0, "frag", pa.array([f], pa.int32())).set_column(1, "kind", pa.array([2], pa.int32()))
-
-    return first
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets themselves."""
-    for b in chunks(batches):
-        row, key = shingles(*text_bytes(b.column("text")))
-        edge = np.searchsorted(row, np.arange(b.num_rows + 1))
-        yield _batch(_SETS, *(b.column(c) for c in ("cls", "n", "cluster", "copies", "m")), [key[i:j].tobytes() for i, j in zip(edge[:-1], edge[1:])])
 
+_DESCRIBED = "doc_id long, cls long, n long, th long"
 
-_SETS = "cls long, n long, cluster long, copies long, m long, grams binary"
-_PART = "frag int, kind int, classes binary, sizes binary, clusters binary, counts binary, grams binary"
 
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunks(batches):
+        cls, n = _classes(*shingles(*text_bytes(b.column("text"))), b.num_rows)
+        yield _batch(_DESCRIBED, b.column("doc_id"), pa.array(cls, mask=n == 0), n, b.column("th"))
 
-def _common(n: np.ndarray, fragments: int) -> np.ndarray:
-    """How many n-grams of the prefixes a set of n has in common with one that it links with."""
-    return np.minimum(5 * fragments + 1, -(-TOP * n // BOTTOM))
 
+# --- 1: candidates ------------------------------------------------------------------------
 
-def _packed(b: pa.RecordBatch, row: np.ndarray, gram: np.ndarray, fragments: int, behind: int = 0) -> Iterator[pa.RecordBatch]:
-    """N-grams of rows with cls, n and cluster, as one row for each fragment."""
-    cls, n, home = b.column("cls").to_numpy(), b.column("n").to_numpy().astype(np.int32), b.column("cluster").to_numpy()
-    frag = (mix(gram) % _U(fragments)).astype(np.uint16 if fragments <= 1 << 16 else np.int64)
-    order = np.argsort(frag, kind="stable")
-    gram, row, frag = gram[order], row[order], frag[order]
-    cut = np.searchsorted(frag, np.arange(fragments + 1))
+_PART = "grp long, classes binary, sizes binary, counts binary, grams binary"
+
+
+def _packed(cls: np.ndarray, n: np.ndarray, row: np.ndarray, gram: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """N-grams of rows, as one row for each group there is."""
+    order = np.lexsort((row, group))
+    gram, row, group = gram[order], row[order], group[order]
+    cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else [0]
     out = []
-    for f in range(fragments):
-        lo, hi = cut[f], cut[f + 1]
-        if lo < hi:
-            who, count = np.unique(row[lo:hi], return_counts=True)
-            out.append((behind + f, 0, cls[who].tobytes(), n[who].tobytes(), home[who].tobytes(), count.astype(np.int32).tobytes(), gram[lo:hi].tobytes()))
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        who, count = np.unique(row[lo:hi], return_counts=True)
+        out.append((int(group[lo]), cls[who].tobytes(), n[who].astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), gram[lo:hi].tobytes()))
     if out:
         yield _batch(_PART, *zip(*out))
 
 
-def _split(fragments: int):
-    """Whole sets cut into fragments."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "grams"):
-            grams = [np.frombuffer(g, _U) for g in b.column("grams").to_pylist()]
-            yield from _packed(b, np.repeat(np.arange(len(grams)), list(map(len, grams))), np.concatenate(grams), fragments)
-
-    return split
-
-
-_PAIRS = "a long, b long, na long, nb long, both long, left binary, right binary"
-_MEMBER = np.dtype([("cls", "<i8"), ("n", "<i8"), ("cluster", "<i8")])
-
-
-def _pair_rows(m: np.ndarray, i: np.ndarray, j: np.ndarray, both: np.ndarray | None = None) -> pa.RecordBatch:
-    """Pairs of members that are in different clusters and whose sizes allow a link; both is their overlap where it is known."""
-    na, nb = m["n"][i], m["n"][j]
-    ok = (m["cluster"][i] != m["cluster"][j]) & (BOTTOM * np.minimum(na, nb) >= TOP * np.maximum(na, nb))
-    i, j = i[ok], j[ok]
-    swap = m["cls"][i] > m["cls"][j]
-    i, j = np.where(swap, j, i), np.where(swap, i, j)
-    blank = pa.nulls(len(i), pa.binary())
-    return _batch(_PAIRS, m["cls"][i], m["cls"][j], m["n"][i], m["n"][j], pa.nulls(len(i), pa.int64()) if both is None else both[ok], blank, blank)
-
-
-def _candidates(few: int, many: int):
-    """Pairs of classes of different clusters that share enough n-grams of a fragment's prefixes;
-    blocks of members where an n-gram has more than HOT."""
-
-    def candidates(table: pa.Table) -> pa.Table:
-        import pyarrow.compute as pc
-
-        small = table["frag"][0].as_py() < few
-        fragments = few if small else many
-        sets = table.filter(pc.equal(table["kind"], 2))
-        table = table.filter(pc.equal(table["kind"], 0))
-        cls, size, home, count = (_column(table, c, t) for c, t in (("classes", np.int64), ("sizes", np.int32), ("clusters", np.int64), ("counts", np.int32)))
-        gram = _column(table, "grams", _U)
-        one = np.zeros(len(cls), bool)  # a class that several tasks have sent counts once
-        one[np.unique(cls, return_index=True)[1]] = True
-        member = np.empty(int(one.sum()), _MEMBER)
-        member["cls"], member["n"], member["cluster"] = cls[one], size[one], home[one]
-        gram, who = gram[np.repeat(one, count)], np.repeat(np.arange(len(member), dtype=np.int32), count[one])
-        order = np.argsort(gram, kind="stable")  # members of an n-gram stay in ascending order
-        g, who = gram[order], who[order]
-        del gram, order
-        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
-        length = np.diff(np.append(begin, len(g)))
-        del g
-        lone = length == 1
-        who = who[np.repeat(~lone, length)]
-        length = length[~lone]
-        begin = np.cumsum(length) - length
-        where = np.unique(member["cluster"], return_inverse=True)[1].astype(np.int32)[who]
-        # lists within one cluster have no pairs for here
-        mixed = np.minimum.reduceat(where, begin) != np.maximum.reduceat(where, begin) if len(begin) else np.zeros(0, bool)
-        out = []
-        for s, m in zip(begin[mixed & (length > HOT)].tolist(), length[mixed & (length > HOT)].tolist()):
-            inside = member[who[s : s + m]]
-            slices = [inside[k : k + HOT].tobytes() for k in range(0, m, HOT)]
-            rows = [(x, y) for k, x in enumerate(slices) for y in slices[k:]]
-            blank = pa.nulls(len(rows), pa.int64())
-            out.append(_batch(_PAIRS, *[blank] * 5, *zip(*rows)))
-        keep = np.repeat(mixed & (length <= HOT), length)
-        # a place of a list pairs with those behind it; places by class, in blocks of bounded pairs
-        behind = (np.repeat(begin + length, length) - 1 - np.arange(len(who)))[keep]
-        place = np.flatnonzero(keep)
-        order = np.argsort(who[place], kind="stable")
-        place, behind = place[order], behind[order]
-        del keep, order, where
-        total = np.concatenate([[0], np.cumsum(behind)])
-        edge = np.flatnonzero(np.concatenate([[True], who[place][1:] != who[place][:-1], [True]])) if len(place) else np.zeros(1, np.int64)
-        base, least = np.int64(len(member)), _common(member["n"], fragments)
-        whole = _Overlap(sets, member["cls"]) if small else None
-        k = 0
-        while k < len(edge) - 1:
-            to = max(k + 1, int(np.searchsorted(total[edge], total[edge[k]] + 1_000_000, "right")) - 1)
-            lo, hi = edge[k], edge[to]
-            n = behind[lo:hi]
-            x = np.repeat(who[place[lo:hi]], n)
-            y = who[np.repeat(place[lo:hi] + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            differ = member["cluster"][x] != member["cluster"][y]
-            code, times = np.unique(x[differ].astype(np.int64) * base + y[differ], return_counts=True)
-            x, y = code // base, code % base
-            enough = times >= -(-np.minimum(least[x], least[y]) // fragments)
-            x, y = x[enough], y[enough]
-            if small:
-                both = whole(x, y)
-                linked = BOTTOM * both >= TOP * (member["n"][x] + member["n"][y] - both)
-                out.append(_pair_rows(member, x[linked], y[linked], both[linked]))
-            else:
-                out.append(_pair_rows(member, x, y))
-            k = to
-        return pa.Table.from_batches(out, _batch(_PAIRS, *[[]] * 7).schema)
-
-    return candidates
+def _segments(plan: list[tuple[int, int, int]]):
+    """The segments of each set, in the groups of its band and of the next one if it can link there. plan: by
+    band the first group, fragments, and parts of a fragment."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in chunks(batches):
+            row, key = shingles(*text_bytes(b.column("text")))
+            cls, n = _classes(row, key, b.num_rows)
+            new = np.array([x not in seen and not seen.add(x) for x in cls.tolist()], bool) & (n > 0)
+            if len(seen) > 100_000:
+                seen = set()
+            home = np.searchsorted(EDGES, n, "right") - 1
+            for band in np.unique(home[new]).tolist():
+                guests = home == band - 1
+                guests[guests] = BOTTOM * n[guests] >= TOP * EDGES[band]
+                yield from one_band(band, new & ((home == band) | guests), row, key, cls, n)
+            for band in np.setdiff1d(home[new] + 1, home[new]).tolist():  # only guests
+                yield from one_band(band, new & (home == band - 1) & (BOTTOM * n >= TOP * EDGES[band]), row, key, cls, n)
+
+    def one_band(band: int, which: np.ndarray, row: np.ndarray, key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first, fragments, parts = plan[band]
+        mine = which[row]
+        r, g = row[mine], key[mine]
+        frag = (mix(g) % _U(fragments)).astype(np.int64)
+        if parts > 1:
+            place = mix(g ^ _U(0x9FB21C651E98DF25))  # any order does; this one is not that of the fragments
+            order = np.lexsort((place, frag, r))
+            r, g, frag, place = r[order], g[order], frag[order], place[order]
+            segment = np.cumsum(np.concatenate([[0], (r[1:] != r[:-1]) | (frag[1:] != frag[:-1])])) if len(r) else np.empty(0, np.int64)
+            m = np.bincount(segment)
+            start = np.cumsum(m) - m
+            lead = _places(segment) < _prefix(m)[segment]
+            code = np.unique(segment[lead] * parts + (place[lead] % _U(parts)).astype(np.int64))
+            segment, part = code // parts, code % parts
+            size = m[segment]
+            end = np.cumsum(size)
+            at = np.repeat(start[segment] - end + size, size) + np.arange(end[-1] if len(end) else 0)
+            r, g, frag = r[at], g[at], frag[at] * parts + np.repeat(part, size)
+        yield from _packed(cls, n, r, g, first + frag)
+
+    return cut
+
+
+class _Forest:
+    """Components of what has been joined so far; label is the least member."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        while len(x):
+            p, q = self.label[x], self.label[y]
+            differ = p != q
+            x, y, p, q = x[differ], y[differ], p[differ], q[differ]
+            np.minimum.at(self.label, np.maximum(p, q), np.minimum(p, q))
+            while True:
+                up = self.label[self.label]
+                if (up == self.label).all():
+                    break
+                self.label = up
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of members of two slices of a hot n-gram's classes."""
-    for b in batches:
-        for x, y in zip(b.column("left").to_pylist(), b.column("right").to_pylist()):
-            p, q = np.frombuffer(x, _MEMBER), np.frombuffer(y, _MEMBER)
-            both = np.concatenate([p, q])
-            for i in range(len(p)):  # a row of pairs at a time
-                j = np.arange(i + 1 if x == y else 0, len(q)) + len(p)
-                if len(j):
-                    yield _pair_rows(both, np.full(len(j), i), j)
-
-
-_WITHIN = "a long, b long, others long"
-
-
-def _within(table: pa.Table) -> pa.Table:
-    """Links within a cluster, or between two blocks of one: for each class the documents of those linked
-    with it, and a spanning forest of the links."""
-    table = table.take(np.unique(table["cls"].to_numpy(), return_index=True)[1])
-    block, i_block, j_block = (table[c].to_numpy() for c in ("block", "i", "j"))
-    cls, n, copies = (table[c].to_numpy() for c in ("cls", "n", "copies"))
-    grams = [np.frombuffer(g, _U) for g in table["grams"].to_pylist()]
-    count = np.array(list(map(len, grams)))
-    names, gram, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(cls)), count)
-    shared = times[gram] > 1
-    gram, row = (np.cumsum(times > 1) - 1)[gram[shared]], row[shared]
-    order = np.argsort(gram, kind="stable")
-    gram, row = gram[order], row[order]
-    columns = int((times > 1).sum())
-    left = np.flatnonzero(block == i_block)
-    right = left if i_block[0] == j_block[0] else np.flatnonzero(block == j_block)
-    both = np.zeros((len(left), len(right)), np.float32)
-    for at in range(0, columns, COLUMNS):  # fragments of the n-gram order
-        lo, hi = np.searchsorted(gram, [at, at + COLUMNS])
-        part = np.zeros((len(cls), min(COLUMNS, columns - at)), np.float32)
-        part[row[lo:hi], gram[lo:hi] - at] = 1
-        both += part[left] @ part[right].T
-    linked = BOTTOM * both >= TOP * (n[left][:, None] + n[right][None, :] - both)
-    same = left is right
-    if same:
-        np.fill_diagonal(linked, False)
-    others = np.zeros(len(cls), np.int64)
-    others[left] += linked @ copies[right]
-    if not same:
-        others[right] += linked.T @ copies[left]
-    root = np.arange(len(cls))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    tree = []
-    for x in range(len(left)):
-        for y in right[np.flatnonzero(linked[x])]:
-            p, q = find(left[x]), find(y)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                tree.append((int(cls[left[x]]), int(cls[y])))
-    a, b = zip(*tree) if tree else ((), ())
-    k = len(cls)
-    return pa.Table.from_batches([_batch(_WITHIN, cls, pa.nulls(k, pa.int64()), others), _batch(_WITHIN, a, b, pa.nulls(len(a), pa.int64()))])
-
-
-def _pairs_out(fragments: int):
-    """Candidate pairs, packed, to every fragment."""
-
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (b.column(c).to_numpy().tobytes() for c in "ab")
-            for f in range(fragments):
-                yield _batch(_PART, [f], [1], [x], [b""], [b""], [b""], [y])
 
-    return out
+class _Overlap:
+    """Overlaps of pairs of segments, given as the places of their n-grams in one list."""
 
+    def __init__(self, gram: np.ndarray, start: np.ndarray, count: np.ndarray, names: int):
+        self.gram, self.start, self.count, self.mark = gram, start, count, np.zeros(names, np.int8)
 
-class _Overlap:
-    """Overlaps of pairs of packed sets, which are named by their place in a list of classes."""
-
-    def __init__(self, sets: pa.Table, names: np.ndarray):
-        cls, count = _column(sets, "classes", np.int64), _column(sets, "counts", np.int32)
-        self.gram = np.unique(_column(sets, "grams", _U), return_inverse=True)[1]
-        known, first = np.unique(cls, return_index=True)
-        at = np.searchsorted(known, names)
-        at[at == len(known)] = 0
-        first = first[at] if len(known) else np.zeros(len(names), np.int64)
-        self.there = known[at] == names if len(known) else np.zeros(len(names), bool)
-        start = np.cumsum(count) - count
-        self.start, self.count = (x[first] if len(count) else np.zeros(len(names), np.int64) for x in (start, count))
-        self.mark = np.zeros(int(self.gram.max()) + 1 if len(self.gram) else 0, np.int8)
-
-    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        result = np.zeros(len(i), np.int64)
-        ask = np.flatnonzero(self.there[i] & self.there[j])
-        ask = ask[np.argsort(i[ask], kind="stable")]
-        a, b = i[ask], j[ask]
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        result = np.zeros(len(a), np.int64)
+        order = np.argsort(a, kind="stable")
+        a, b = a[order], b[order]
         cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else [0]
         for lo, hi in zip(cut[:-1], cut[1:]):
             mine = self.gram[self.start[a[lo]] : self.start[a[lo]] + self.count[a[lo]]]
             self.mark[mine] = 1
-            for k in range(lo, hi, 4096):  # bounded, however many partners a class has
+            for k in range(lo, hi, 4096):  # bounded, however many partners a segment has
                 other = b[k : min(k + 4096, hi)]
-                size = self.count[other].astype(np.int64)
+                size = self.count[other]
                 end = np.cumsum(size)
                 where = np.repeat(self.start[other] - end + size, size) + np.arange(end[-1])
-                result[ask[k : k + len(other)]] = np.add.reduceat(self.mark[self.gram[where]], end - size, dtype=np.int64)
+                result[order[k : k + len(other)]] = np.add.reduceat(self.mark[self.gram[where]], end - size, dtype=np.int64)
             self.mark[mine] = 0
         return result
 
 
-def _overlaps(table: pa.Table) -> pa.Table:
-    """A fragment's part of the overlap of every candidate pair."""
-    import pyarrow.compute as pc
+def _blocks(length: np.ndarray, pairs: int) -> Iterator[tuple[int, int]]:
+    """Runs of items whose lengths sum to about pairs, or one item where that is longer."""
+    total = np.cumsum(length)
+    k = 0
+    while k < len(length):
+        to = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + pairs, "right")))
+        yield k, to
+        k = to
+
+
+_EDGES = "a long, b long"
+
+
+def _candidates(least_home: dict[int, int], pairs: int):
+    """A spanning forest of the pairs of classes whose segments in one group link. least_home: by group, the least size of its band."""
+
+    def candidates(table: pa.Table) -> pa.Table:
+        lowest = least_home[table["grp"][0].as_py()]
+        cls, size, count = (_column(table, c, t) for c, t in (("classes", np.int64), ("sizes", np.int32), ("counts", np.int32)))
+        gram = _column(table, "grams", _U)
+        del table
+        one = np.zeros(len(cls), bool)  # a class that several tasks have sent counts once
+        one[np.unique(cls, return_index=True)[1]] = True
+        gram, cls, size, count = gram[np.repeat(one, count)], cls[one], size[one], count[one].astype(np.int64)
+        start = np.cumsum(count) - count
+        # equal segments are one
+        sums = np.add.reduceat(mix(gram ^ _U(0xE7037ED1A0B428DB)), start) if len(start) else np.empty(0, _U)
+        _, first, same = np.unique(mix(sums + count.astype(_U)), return_index=True, return_inverse=True)
+        forest = _Forest(len(cls))
+        forest.join(np.arange(len(cls)), first[same])
+        largest = np.zeros(len(first), np.int64)
+        np.maximum.at(largest, same, size)
+        chosen = np.zeros(len(cls), bool)
+        chosen[first] = True
+        home = np.zeros(len(cls), bool)
+        home[first] = largest >= lowest
+        gram, who = gram[np.repeat(chosen, count)], np.repeat(np.flatnonzero(chosen).astype(_U), count[chosen])
+        # the order: rare n-grams first
+        order = np.argsort(gram)
+        gram, who = gram[order], who[order]
+        new = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, bool)
+        del gram, order
+        often = np.diff(np.append(np.flatnonzero(new), len(new)))
+        by_often = np.argsort(often, kind="stable")
+        rank = np.empty(len(often), _U)
+        rank[by_often] = np.arange(len(often), dtype=_U)
+        code = who << _U(32) | np.repeat(rank, often)
+        often = often[by_often]
+        del who, new, rank, by_often
+        code.sort()
+        who, gram = (code >> _U(32)).astype(np.int32), (code & _U(0xFFFFFFFF)).astype(np.int64)
+        del code
+        start = np.zeros(len(cls), np.int64)
+        start[chosen] = np.cumsum(count[chosen]) - count[chosen]
+        place = np.arange(len(who)) - start[who]
+        lead = (place < _prefix(count)[who]) & (often[gram] > 1)
+        g, w, at = gram[lead], who[lead], place[lead]
+        del lead, place
+        order = np.lexsort((count[w], g))  # lists, by n-gram; short segments first
+        g, w, at = g[order], w[order], at[order]
+        overlap = _Overlap(gram, start, count, len(often))
+
+        def try_pairs(x: np.ndarray, y: np.ndarray) -> None:
+            """Join the pairs of places of lists whose segments link."""
+            p, q = w[x], w[y]
+            need = _least(count[p] + count[q])
+            # if this is the first n-gram they share, the overlap is at most what is left of the shorter rest
+            ok = (np.minimum(count[p] - at[x], count[q] - at[y]) >= need) & (home[p] | home[q]) & (forest.label[p] != forest.label[q])
+            pair = np.unique(np.minimum(p[ok], q[ok]).astype(np.int64) << 32 | np.maximum(p[ok], q[ok]))
+            p, q = pair >> 32, pair & 0xFFFFFFFF
+            linked = overlap(p, q) >= _least(count[p] + count[q])
+            forest.join(p[linked], q[linked])
+
+        def lists() -> tuple[np.ndarray, np.ndarray]:
+            """Begin and length of the lists whose members aren't all joined yet."""
+            begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+            length = np.diff(np.append(begin, len(g)))
+            if not len(begin):
+                return begin, length
+            label = forest.label[w]
+            mixed = np.minimum.reduceat(label, begin) != np.maximum.reduceat(label, begin)
+            return begin[mixed], length[mixed]
+
+        begin, length = lists()
+        for lo, hi in _blocks(length, pairs):  # members with the first of their list
+            n = length[lo:hi] - 1
+            x = np.repeat(begin[lo:hi], n)
+            try_pairs(x, x + 1 + _places(x))
+        begin, length = lists()
+        place = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
+        # a place of a list pairs with those behind it whose segments aren't too long
+        widest = int(count.max(initial=0)) + 1
+        end = np.searchsorted(g * widest + count[w], g[place] * widest + np.minimum(BOTTOM * count[w[place]] // TOP, widest - 1), "right")
+        behind = end - 1 - place
+        for lo, hi in _blocks(behind, pairs):
+            n = behind[lo:hi]
+            x = np.repeat(place[lo:hi], n)
+            try_pairs(x, x + 1 + _places(x))
+        root = forest.label
+        moved = root != np.arange(len(cls))
+        return pa.Table.from_batches([_batch(_EDGES, cls[moved], cls[root[moved]])])
 
-    sets, pairs = table.filter(pc.equal(table["kind"], 0)), table.filter(pc.equal(table["kind"], 1))
-    a, b = _column(pairs, "classes", np.int64), _column(pairs, "grams", np.int64)
-    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    part = _Overlap(sets, names)(place[: len(a)], place[len(a) :])
-    some = part > 0
-    return pa.Table.from_batches([_batch("a long, b long, part long", a[some], b[some], part[some])])
+    return candidates
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -456,73 +373,201 @@ def components(edges: DataFrame) -> DataFrame:
     return now.selectExpr("a as node", "b as root").unionByName(now.selectExpr("b as node", "b as root")).distinct()
 
 
-def _power_of_two(x: float) -> int:
-    return 1 << max(0, int(np.ceil(np.log2(max(1.0, x)))))
+def _plan(classes: DataFrame, sizes: Sizes) -> list[tuple[int, int, int]]:
+    """By band the first group, fragments, and parts of a fragment."""
+    steps = [f"int(n >= {e})" for e in EDGES[1:]]
+    home = F.expr(" + ".join(steps))
+    guest = F.expr(" + ".join(f"int({BOTTOM} * n >= {TOP * e})" for e in EDGES[1:]))
+    bands = classes.select("n", F.explode(F.array_distinct(F.array(home, guest))).alias("band"))
+    total = {r.band: r.n for r in bands.groupBy("band").agg(F.sum("n").alias("n")).collect()}
+    plan, first = [], 0
+    for band, edge in enumerate(EDGES.tolist()):
+        wanted = -(-total.get(band, 0) // sizes.group_ngrams) or 1
+        fragments = min(wanted, max(1, edge // sizes.least_segment))
+        parts = -(-wanted // fragments)
+        plan.append((first, fragments, parts))
+        first += fragments * parts
+    return plan
+
+
+# --- 2 and 3: counts and sums -------------------------------------------------------------
+
+
+def _bitmap(needed: DataFrame) -> np.ndarray:
+    """Bits of the texts that are needed. It is of one size for any input; texts that aren't needed may be in it, none that are needed is missing."""
+    words = needed.select(F.pmod("th", F.lit(BITMAP)).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(th, 40), 64) as int))").alias("bit"))
+    table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(BITMAP, np.int64)
+    out[table["word"].to_numpy()] = table["bits"].to_numpy()
+    return out
 
 
-def _clusters(classes: DataFrame) -> DataFrame:
-    """cls and cluster of the classes that share a signature with another."""
-    keys = materialize(classes.select("cls", "keys").mapInArrow(_signatures, "key long, cls long"), "ngram-signatures")
-    least = keys.groupBy("key").agg(F.min("cls").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    stars = keys.join(least, "key").filter("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b")).distinct()
-    return components(stars).withColumnRenamed("node", "cls").withColumnRenamed("root", "cluster")
+def _needed(bitmap):
+    """The texts whose bit is set, without those that the task has had before, as far as it remembers."""
 
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in chunks(batches):
+            th = b.column("th").to_numpy()
+            bit = (bitmap.value[th % BITMAP] >> ((th >> 40) % 64)) & 1
+            new = [bool(y) and x not in seen and not seen.add(x) for x, y in zip(th.tolist(), bit.tolist())]
+            if len(seen) > 100_000:
+                seen = set()
+            if any(new):
+                yield b.filter(pa.array(new))
+
+    return needed
+
+
+_CUT = "bin long, i int, j int, frag int, cluster long, block int, cls long, n long, copies long, grams binary"
 
-def _linked_within(sets: DataFrame) -> DataFrame:
-    """What _within() finds in all clusters of two or more."""
-    rows = sets.filter("m > 1").withColumn("blocks", F.ceil(F.col("m") / TOGETHER).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("i", F.least("block", "_o")).withColumn("j", F.greatest("block", "_o"))
-    return rows.select("cluster", "i", "j", "block", "cls", "n", "copies", "grams").groupBy("cluster", "i", "j").applyInArrow(tidy(_within), _WITHIN)
 
+def _cut(bins: int, sizes: Sizes):
+    """The segments of a cluster's sets, to each two blocks that they are in. Small clusters share bins."""
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches):
+            row, key = shingles(*text_bytes(b.column("text")))
+            fragments = b.column("fragments").to_numpy()
+            width = int(fragments.max())
+            code = row * width + (mix(key) % fragments.astype(_U)[row]).astype(np.int64)
+            order = np.argsort(code, kind="stable")
+            key = key[order]
+            edge = np.searchsorted(code[order], np.arange(b.num_rows * width + 1))
+            out = []
+            for r, (cluster, m, cls, n, copies) in enumerate(zip(*(b.column(c).to_pylist() for c in ("cluster", "m", "cls", "n", "copies")))):
+                blocks = -(-m // sizes.together)
+                block = cls % blocks
+                home = cluster if m > sizes.large else cluster % bins
+                for o in range(blocks):
+                    for f in range(fragments[r]):
+                        k = r * width + f
+                        out.append((home, min(block, o), max(block, o), f, cluster, block, cls, n, copies, key[edge[k] : edge[k + 1]].tobytes()))
+                if len(out) >= 4096:
+                    yield _batch(_CUT, *zip(*out))
+                    out = []
+            if out:
+                yield _batch(_CUT, *zip(*out))
+
+    return cut
+
+
+_COUNTED = "bin long, i int, j int, cluster long, frag int, at int, left binary, right binary, sizes binary, parts binary"
+#: What is known of a class of a cluster.
+_MEMBER = np.dtype([("cls", "<i8"), ("n", "<i8"), ("copies", "<i8")])
+
+
+def _parts(most: int):
+    """One fragment's part of the overlaps of all pairs of two blocks of each cluster in a bin."""
+
+    def parts(table: pa.Table) -> pa.Table:
+        whole = {c: table[c].to_numpy() for c in ("cluster", "block", "cls", "n", "copies")}
+        one = np.lexsort((whole["cls"], whole["cluster"]))
+        cls, cluster = whole["cls"][one], whole["cluster"][one]
+        one = one[np.concatenate([[True], (cls[1:] != cls[:-1]) | (cluster[1:] != cluster[:-1])])]  # a class that several tasks have sent counts once
+        whole = {c: x[one] for c, x in whole.items()}
+        grams = table["grams"].take(pa.array(one)).to_pylist()
+        bin_, i, j, f = (table[c][0].as_py() for c in ("bin", "i", "j", "frag"))
+        del table
+        cut = np.flatnonzero(np.concatenate([[True], whole["cluster"][1:] != whole["cluster"][:-1], [True]]))
+        out = []
+        for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            member = np.empty(hi - lo, _MEMBER)
+            for c in ("cls", "n", "copies"):
+                member[c] = whole[c][lo:hi]
+            block = whole["block"][lo:hi]
+            left = np.flatnonzero(block == i)
+            right = left if i == j else np.flatnonzero(block == j)
+            segment = [np.frombuffer(x, _U) for x in grams[lo:hi]]
+            row = np.repeat(np.arange(hi - lo), list(map(len, segment)))
+            name, times = np.unique(np.concatenate(segment), return_inverse=True, return_counts=True)[1:]
+            shared = times[name] > 1
+            name, row = (np.cumsum(times > 1) - 1)[name[shared]], row[shared]
+            columns = int((times > 1).sum())
+            if columns > most:
+                order = np.argsort(name, kind="stable")
+                name, row = name[order], row[order]
+            both = np.zeros((len(left), len(right)), np.float32)
+            for at in range(0, columns, most):
+                a, b = np.searchsorted(name, [at, at + most]) if columns > most else (0, len(name))
+                hit = np.zeros((hi - lo, min(most, columns - at)), np.float32)
+                hit[row[a:b], name[a:b] - at] = 1
+                both += hit[left] @ hit[right].T
+            kind = "<u2" if both.max(initial=0) < 1 << 16 else "<u4"
+            out.append((bin_, i, j, int(whole["cluster"][lo]), f, int(kind[2]), member[left].tobytes(), b"" if i == j else member[right].tobytes(), b"", both.astype(kind).tobytes()))
+        return pa.Table.from_batches([_batch(_COUNTED, *zip(*out))])
+
+    return parts
+
+
+_LINKED = "a long, b long, others long"
+
+
+def _sums(table: pa.Table) -> pa.Table:
+    """Links of the pairs of two blocks, by the sums of their parts: for each class the documents of those linked with it, and a spanning forest of the links."""
+    cluster, width = table["cluster"].to_numpy(), table["at"].to_pylist()
+    lefts, rights, parts = (table[c].to_pylist() for c in ("left", "right", "parts"))
+    same = table["i"][0].as_py() == table["j"][0].as_py()
+    del table
+    order = np.argsort(cluster, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], cluster[order][1:] != cluster[order][:-1], [True]]))
+    names, others, a, b = [], [], [], []
+    for lo, hi in zip(cut[:-1], cut[1:]):
+        rows = order[lo:hi]
+        left = np.frombuffer(lefts[rows[0]], _MEMBER)
+        right = left if same else np.frombuffer(rights[rows[0]], _MEMBER)
+        both = np.zeros((len(left), len(right)), np.int32)
+        for r in rows:
+            both += np.frombuffer(parts[r], f"<u{width[r]}").reshape(both.shape)
+            parts[r] = None
+        linked = BOTTOM * both >= TOP * (left["n"][:, None] + right["n"][None, :] - both)
+        if same:
+            np.fill_diagonal(linked, False)
+        names.append(left["cls"])
+        others.append(linked @ right["copies"])
+        if not same:
+            names.append(right["cls"])
+            others.append(linked.T @ left["copies"])
+        forest = _Forest(len(left) + len(right) * (not same))
+        for x in range(0, len(left), 64):
+            p, q = np.nonzero(linked[x : x + 64])
+            forest.join(p + x, q + len(left) * (not same))
+        cls = left["cls"] if same else np.concatenate([left["cls"], right["cls"]])
+        moved = forest.label != np.arange(len(cls))
+        a.append(cls[moved])
+        b.append(cls[forest.label[moved]])
+    names, others, a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (names, others, a, b))
+    return pa.Table.from_batches([_batch(_LINKED, names, pa.nulls(len(names), pa.int64()), others), _batch(_LINKED, a, b, pa.nulls(len(a), pa.int64()))])
+
+
+def links(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Documents (doc_id, cls, n), classes (cls, copies, least), the documents linked with each class (cls, others)
     and edges (a, b) that join the classes of each component."""
     spark = docs.sparkSession
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     members = materialize(wanted.mapInArrow(_describe, _DESCRIBED), "ngram-documents")
-    one = members.filter("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), *(F.min(c).alias(a) for c, a in (("doc_id", "least"), ("n", "n"), ("th", "th"), ("keys", "keys"))))
-    one = materialize(one, "ngram-one")
-    homes = one.drop("keys").join(_clusters(one), "cls", "left").withColumn("cluster", F.coalesce("cluster", "cls"))
-    classes = materialize(homes.join(homes.groupBy("cluster").agg(F.count(F.lit(1)).alias("m")), "cluster"), "ngram-classes")
-    size = wanted.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0
-    sizes = classes.agg(*(F.sum(F.when(c, F.col("n")).otherwise(0).cast("double")) for c in (F.col("n") <= SMALL, F.col("n") * BOTTOM >= SMALL * TOP))).first()
-    texts = wanted.select("text", "th").mapInArrow(_once, "text string, th long")
-
-    def of(which: DataFrame) -> DataFrame:
-        """cls, n, cluster, copies, m and a text of some classes."""
-        return texts.join(which.select("th", "cls", "n", "cluster", "copies", "m").hint("shuffle_hash"), "th").drop("th")
-
-    late = spark.sparkContext.broadcast(Table(frequent(wanted, size)))
-    few, many = (_power_of_two((x or 0) * (1 - TOP / BOTTOM) / FRAGMENT_FIRST) for x in sizes)
-    found = materialize(of(classes).mapInArrow(_first(few, many, late), _PART).groupBy("frag").applyInArrow(tidy(_candidates(few, many)), _PAIRS), "ngram-candidates")
-    hot = found.filter("a is null").hint("rebalance").mapInArrow(_expand, _PAIRS)
-    known = materialize(found.filter("both is not null").select("a", "b").distinct(), "ngram-known")
-    pairs = materialize(found.filter("a is not null and both is null").unionByName(hot).select("a", "b", "na", "nb").distinct(), "ngram-pairs")
-    discard(found)
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    need = classes.filter("m > 1").unionByName(classes.filter("m = 1").join(named, "cls", "left_semi").select(*classes.columns))
-    sets = materialize(of(need).mapInArrow(_whole, _SETS), "ngram-sets")
-    within = materialize(_linked_within(sets), "ngram-within")
-    asked = sets.join(named, "cls", "left_semi")
-    whole = asked.agg(F.sum(F.octet_length("grams").cast("double"))).first()[0] or 0
-    many = _power_of_two(whole / 8 / FRAGMENT_NGRAMS)
-    parts = asked.mapInArrow(_split(many), _PART).unionByName(pairs.select("a", "b").mapInArrow(_pairs_out(many), _PART))
-    counted = parts.groupBy("frag").applyInArrow(tidy(_overlaps), "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("both"))
-    linked = counted.join(pairs, ["a", "b"]).filter(F.expr(f"{BOTTOM} * both >= {TOP} * (na + nb - both)")).select("a", "b")
-    across = materialize(linked.unionByName(known).distinct(), "ngram-links")
-    discard(sets)
-    both = across.unionByName(across.selectExpr("b as a", "a as b")).join(classes.selectExpr("cls as b", "copies"), "b")
-    others = both.select(F.col("a").alias("cls"), F.col("copies").alias("others")).unionByName(within.filter("b is null").select(F.col("a").alias("cls"), "others"))
-    edges = within.filter("b is not null").select("a", "b").unionByName(across)
-    return members, classes, others.groupBy("cls").agg(F.sum("others").alias("others")), edges
-
-
-def similar(docs: DataFrame) -> DataFrame:
+    one = members.filter("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), *(F.min(c).alias(a) for c, a in (("doc_id", "least"), ("n", "n"), ("th", "th"))))
+    classes = materialize(one, "ngram-classes")
+    plan = _plan(classes, sizes)
+    least_home = {first + k: int(edge) for (first, fragments, parts), edge in zip(plan, EDGES) for k in range(fragments * parts)}
+    forest = wanted.select("text").mapInArrow(_segments(plan), _PART).groupBy("grp").applyInArrow(tidy(_candidates(least_home, sizes.pairs)), _EDGES)
+    home = components(forest).withColumnRenamed("node", "cls").withColumnRenamed("root", "cluster")
+    home = home.join(classes.select("cls", "n", "copies", "th"), "cls")
+    each = home.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("whole"))
+    fragments = F.greatest(F.lit(sizes.fragments), F.ceil(F.col("whole") * F.least(F.lit(1.0), 2 * sizes.together / F.col("m")) / sizes.block_ngrams).cast("int"))
+    home = materialize(home.join(each.select("cluster", "m", fragments.alias("fragments")), "cluster"), "ngram-clusters")
+    bins = int(-(-(home.filter(f"m <= {sizes.large}").agg(F.sum("n")).first()[0] or 0) // sizes.bin_ngrams)) or 1
+    bitmap = spark.sparkContext.broadcast(_bitmap(home))
+    sets = wanted.select("text", "th").mapInArrow(_needed(bitmap), "text string, th long").join(home, "th")
+    counted = sets.select("text", "cluster", "m", "cls", "n", "copies", "fragments").mapInArrow(_cut(bins, sizes), _CUT).groupBy("bin", "i", "j", "frag").applyInArrow(tidy(_parts(sizes.columns)), _COUNTED)
+    linked = materialize(counted.groupBy("bin", "i", "j").applyInArrow(tidy(_sums), _LINKED), "ngram-links")
+    others = linked.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("others").alias("others"))
+    return members, classes, others, linked.filter("b is not null").select("a", "b")
+
+
+def similar(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id and class_id of every document."""
-    members, classes, others, edges = links(docs)
+    members, classes, others, edges = links(docs, sizes)
     roots = components(edges).withColumnRenamed("node", "cls")
     roots = roots.join(roots.join(classes.select("cls", "least"), "cls").groupBy("root").agg(F.min("least").alias("component")), "root").select("cls", "component")
     by_class = classes.select("cls", "copies", "least").join(others, "cls", "left").join(roots, "cls", "left").select(
@@ -536,6 +581,8 @@ def similar(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are their component's smallest id. Rows without an id, and rows that share
-    one, stay or go together: with an id they stay if it is the smallest, without one they stay."""
-    gone = similar(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    one, stay or go together: with an id they stay if it is the smallest, without one they stay. Columns may have any names."""
+    gone = similar(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    whole = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row"))
+    kept = whole.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti")
+    return kept.select(*(F.col(f"_row.{quoted(c)}") for c in docs.columns))

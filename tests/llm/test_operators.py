@@ -14,6 +14,8 @@ from tokenizers import Tokenizer
 
 from quarrygraph.llm import decontam, langid, lines, lm, ngram_join, packing, ppm, quality, suffix_dedup, tokens
 
+from tests.llm.conftest import words
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -338,16 +340,32 @@ def plain_similar(rows):
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_ngram_jaccard(docs, rows, small, monkeypatch):
-    if small:  # many fragments and blocks, clusters that miss and n-grams that are hot
-        for name, value in (("FRAGMENT_FIRST", 900), ("FRAGMENT_NGRAMS", 100), ("FREQUENT", 50), ("HOT", 2), ("TOGETHER", 2), ("COLUMNS", 7), ("BANDS", 1), ("MINIMA", 30)):
-            monkeypatch.setattr(ngram_join, name, value)
-    got = sorted(((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in ngram_join.similar(docs).collect()), key=key)
+#: Many groups, parts of fragments, blocks and bins.
+DIVIDED = [ngram_join.Sizes(), ngram_join.Sizes(400, 16, 50, 3, 200, 3, 7, 2, 300), ngram_join.Sizes(300, 64, 7, 2, 90, 2, 5, 4, 100)]
+
+
+@pytest.mark.parametrize("sizes", DIVIDED)
+def test_ngram_jaccard(docs, rows, sizes):
+    got = sorted(((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in ngram_join.similar(docs, sizes).collect()), key=key)
     want = sorted(plain_similar(rows), key=key)
     assert got == want and sum(w[2] for w in want) > 40
 
 
+@pytest.mark.parametrize("sizes", DIVIDED)
+def test_ngram_jaccard_chains(spark, sizes):
+    """Near copies of near copies, and sets of every size up to 300 at the edges of the bands."""
+    rng = random.Random(6)
+    rows, w = [], words(rng, 70)
+    for k in range(60):
+        rows.append((len(rows), " ".join(w)))
+        w = [x if rng.random() < 0.9 else f"n{rng.randrange(10**6)}" for x in w] + words(rng, rng.randrange(9))
+    for n in (1, 2, 3, 5, 38, 39, 40, 63, 64, 65, 66, 153, 154, 255, 256, 257, 258, 300):
+        w = words(rng, n, 10**6)
+        rows += [(len(rows) + k, " ".join(w[: max(1, int(n * s))] + words(rng, e, 10**6))) for k, (s, e) in enumerate([(1, 0), (0.6, 0), (0.61, 0), (1, n // 2), (0.8, n // 9)])]
+    got = sorted(((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string"), sizes).collect()), key=key)
+    assert got == sorted(plain_similar(rows), key=key)
+
+
 def test_one_of_each(docs, rows):
     kept = ngram_join.one_of_each(docs)
     roots = {r[3] for r in plain_similar(rows) if r[0] is not None}
