@@ -104,7 +104,7 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
 
 
 def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
-    return np.concatenate([np.empty(0, dtype), *(np.frombuffer(x, dtype) for x in table.column(name).to_pylist())])
+    return np.concatenate([np.empty(0, dtype), *(text_bytes(x)[0].view(dtype) for x in table.column(name).chunks)])
 
 
 def _least(total):
@@ -284,27 +284,32 @@ def _candidates(least_home: dict[int, int], pairs: int):
         chosen[first] = True
         home = np.zeros(len(cls), bool)
         home[first] = largest >= lowest
-        gram, who = gram[np.repeat(chosen, count)], np.repeat(np.flatnonzero(chosen).astype(_U), count[chosen])
+        gram = gram[np.repeat(chosen, count)]
+        who = np.repeat(np.flatnonzero(chosen).astype(np.uint32), count[chosen])
         # the order: rare n-grams first
         order = np.argsort(gram)
         gram, who = gram[order], who[order]
+        del order
         new = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, bool)
-        del gram, order
+        del gram
         often = np.diff(np.append(np.flatnonzero(new), len(new)))
         by_often = np.argsort(often, kind="stable")
-        rank = np.empty(len(often), _U)
-        rank[by_often] = np.arange(len(often), dtype=_U)
-        code = who << _U(32) | np.repeat(rank, often)
+        rank = np.empty(len(often), np.uint32)
+        rank[by_often] = np.arange(len(often), dtype=np.uint32)
+        code = who.astype("<u8")
+        code <<= _U(32)
+        code |= np.repeat(rank, often)
         often = often[by_often]
         del who, new, rank, by_often
         code.sort()
-        who, gram = (code >> _U(32)).astype(np.int32), (code & _U(0xFFFFFFFF)).astype(np.int64)
-        del code
+        gram, who = code.view("<u4")[::2], code.view("<u4")[1::2]
         start = np.zeros(len(cls), np.int64)
         start[chosen] = np.cumsum(count[chosen]) - count[chosen]
-        place = np.arange(len(who)) - start[who]
-        lead = (place < _prefix(count)[who]) & (often[gram] > 1)
+        place = np.arange(len(who), dtype=np.int32) - np.repeat(start[chosen].astype(np.int32), count[chosen])
+        lead = place < np.repeat(_prefix(count[chosen]).astype(np.int32), count[chosen])
+        lead[lead] = often[gram[lead]] > 1
         g, w, at = gram[lead], who[lead], place[lead]
+        g, w = g.astype(np.int64), w.astype(np.int64)
         del lead, place
         order = np.lexsort((count[w], g))  # lists, by n-gram; short segments first
         g, w, at = g[order], w[order], at[order]
