@@ -29,21 +29,16 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _SCHEMA = "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in [*COUNTS, "n_lines"])
 
 #: Ratio -> (numerator, denominator, quartile distances allowed below and above, least distance).
-#: Ratios are millionths; None leaves that side open.
+#: Ratios are millionths; None leaves that side open. With quartiles at 0, which is usual for the repetition rules, their fences are half of
+#: what they can reach: dup_lines is under 1,000,000, and the base rules leave repeat_words at 500,000 or less.
 RULES: dict[str, tuple[str, str, float | None, float | None, int]] = {
     "word_length": ("word_chars", "n_words", 6, 6, 250_000),
     "symbols": ("n_symbols", "word_chars", None, 6, 5_000),
-    "dup_lines": ("n_dup_lines", "n_lines", None, 6, 250_000),
-    "repeat_words": ("n_repeat_words", "n_words", None, 6, 100_000),
+    "dup_lines": ("n_dup_lines", "n_lines", None, 6, 1_000_000 // 12),
+    "repeat_words": ("n_repeat_words", "n_words", None, 6, 500_000 // 12),
 }
 LEAST = 200
 
-#: RULES with fences that both repetition rules can reach. With quartiles at 0, which is usual, RULES puts the fence of
-#: dup_lines at 1,500,000 and that of repeat_words at 600,000, but the first ratio is under 1,000,000 and the base
-#: rules leave the second at 500,000 or less. Here the fence is then half of that range.
-REACH = {"dup_lines": 1_000_000, "repeat_words": 500_000}
-REACHABLE = {r: (*v[:4], REACH[r] // (2 * v[3]) if r in REACH else v[4]) for r, v in RULES.items()}
-
 
 def repeated(keys: np.ndarray) -> np.ndarray:
     """Which keys occur twice or more."""
@@ -220,4 +215,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLE, REACHABLE_ORACLE = _oracle(), _oracle(REACHABLE)
+ORACLE = _oracle()
