@@ -7,10 +7,12 @@ are laid out in aligned columns with spanned cells. Visibility rules leave out h
 style, template and other elements that are never shown, hidden attributes, and inline display:none
 and visibility:hidden. Of a select the chosen option is shown (all of them in a list box), of SVG what its
 text elements and foreign objects hold, of MathML all but annotations. All other text is emitted. The open elements are a stack of our own, so
-nesting of any depth is fine, and each page is read once.
+nesting of any depth is fine, and each page is read once, in time that grows with its length whatever it holds. Indentation stops at
+INDENT columns; columns of a table in which no cell begins take no room.
 
 Defined results: null or empty HTML gives empty text; broken markup is read as far as it goes; an
-end tag without its start is ignored, except that </p> and </br> act as browsers have it. Repeated rows stay.
+end tag without its start is ignored, except that </p> and </br> act as browsers have it; a < without a later > is text. Repeated rows stay.
+Columns other than page_id, url and html are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks
 
-_TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"<]*"|'[^'<]*'|[^>"'])*+|[^>]*+)>|[!?/][^>]*>)""", re.S)
+_TAG = re.compile(r"""<(?:!--(?:.*?-->|.*)|(/?)([a-zA-Z][^\s/>]*)((?:"[^"<]*"|'[^'<]*'|[^>"'<])*+|[^>]*+)>|[!?/][^>]*>)""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"hidden|display|visibility|open|colspan|rowspan|start|value|type|alt", re.I)
@@ -51,6 +53,7 @@ IMPLIED = {
     "option": ({"option"}, {"select", "table"}), "body": ({"head"}, set()),
 } | dict.fromkeys(("thead", "tbody", "tfoot"), ({"thead", "tbody", "tfoot", "tr", "caption", "colgroup"}, {"table"}))
 _CELL = {"td", "th", "caption"}
+INDENT = 200
 
 
 class Writer:
@@ -83,7 +86,7 @@ class Writer:
         self.gap = 0
         self.lines.append(self.indent + self.marker + line)
         if self.marker:
-            self.indent, self.marker = self.indent + " " * len(self.marker), ""
+            self.indent, self.marker = (self.indent + " " * len(self.marker))[:INDENT], ""
 
     def verbatim(self, s: str) -> None:
         first, *rest = s.split("\n")
@@ -96,23 +99,29 @@ class Writer:
 class Table:
     def __init__(self):
         self.rows: list[list[tuple[int, int, list[str]]]] = []  # column, span, lines
-        self.taken: dict[int, int] = {}  # column -> rows that a cell above still takes
+        self.taken: list[list[int]] = []  # columns from, to, and rows that cells above still take there
+        self.new: list[list[int]] = []
 
     def row(self) -> None:
         self.rows.append([])
         self.column = 0
-        self.from_above = {c for c, n in self.taken.items() if n > 0}
-        self.taken = {c: n - 1 for c, n in self.taken.items() if n > 0}
+        above = sorted([a, b, n - 1] for a, b, n in self.taken + self.new if n > 1)
+        self.taken, self.new = [], []
+        for x in above:  # runs side by side are one
+            if self.taken and self.taken[-1][1] == x[0] and self.taken[-1][2] == x[2]:
+                self.taken[-1][1] = x[1]
+            else:
+                self.taken.append(x)
+        self.ahead = self.taken[::-1]
 
     def cell(self, lines: list[str], across: int, down: int) -> None:
         if not self.rows:
             self.row()
-        while self.column in self.from_above:
-            self.column += 1
+        while self.ahead and self.ahead[-1][0] <= self.column:
+            self.column = max(self.column, self.ahead.pop()[1])
         self.rows[-1].append((self.column, across, lines))
-        for c in range(self.column, self.column + across):
-            if down > 1:
-                self.taken[c] = down - 1
+        if down > 1:
+            self.new.append([self.column, self.column + across, down])
         self.column += across
 
     def lines(self) -> list[str]:
@@ -122,17 +131,24 @@ class Table:
                 if across == 1:
                     width[c] = max(width.get(c, 0), max(map(len, lines), default=0))
         spot, at = {}, 0
-        for c in range(max((c + a for row in self.rows for c, a, _ in row), default=0)):
+        for c in sorted({c for row in self.rows for c, _, _ in row}):
             spot[c] = at
             at += width.get(c, 0) + 2
         out = []
         for row in self.rows:
-            for k in range(max((len(lines) for _, _, lines in row), default=0)):
-                line = ""
-                for c, _, lines in row:
-                    if k < len(lines):
-                        line = (line.rstrip() + "  " if len(line) > spot[c] else line).ljust(spot[c]) + lines[k]
-                out.append(line.rstrip())
+            tall = sorted(((len(lines), spot[c], lines) for c, _, lines in row if lines), key=lambda x: (-x[0], x[1]))
+            for k in range(tall[0][0] if tall else 0):
+                while tall[-1][0] <= k:
+                    tall.pop()
+                parts, end, at = [], 0, 0  # where the text ends, and where the line does
+                for _, begin, lines in sorted(tall, key=lambda x: x[1]):
+                    if at > begin:
+                        begin = max(begin, end + 2)
+                    said, at = lines[k].rstrip(), begin + len(lines[k])
+                    if said:
+                        parts += [" " * (begin - end), said]
+                        end = begin + len(said)
+                out.append("".join(parts))
         return out
 
 
@@ -155,6 +171,7 @@ class Renderer:
         self.pre = 0
         self.count = {"tables": 0, "items": 0}
         self.open: dict[str, int] = {}
+        self.where: dict[str, list[int]] = {}  # places in the stack
         #: of the open select: text, selected, disabled, hidden and whether it is a group's label
         self.choices: list[list] = []
 
@@ -169,16 +186,10 @@ class Renderer:
             self.writer.text(s)
 
     def _close_up_to(self, tags: set[str], barrier: set[str]) -> None:
-        if not any(self.open.get(t) for t in tags):
-            return
-        for k in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[k][0]
-            if tag in tags:
-                while len(self.stack) > k:
-                    self._pop()
-                return
-            if tag in barrier:
-                return
+        last = max((self.where[t][-1] for t in tags if self.open.get(t)), default=-1)
+        if last > max((self.where[t][-1] for t in barrier - tags if self.open.get(t)), default=-1):
+            while len(self.stack) > last:
+                self._pop()
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in BREAKOUT:
@@ -228,6 +239,7 @@ class Renderer:
             undo += self._enter(tag, found)
         self.stack.append((tag, hidden, unseen, undo))
         self.open[tag] = self.open.get(tag, 0) + 1
+        self.where.setdefault(tag, []).append(len(self.stack) - 1)
         self.hidden, self.unseen = hidden, unseen
         if attributes.endswith("/") and (foreign or tag in FOREIGN):
             self._pop()
@@ -280,12 +292,12 @@ class Renderer:
             kind = self.lists[-1] if self.lists else [False, 1]
             if "value" in found:
                 kind[1] = _number(found["value"], -(10**9), 10**9, kind[1])
-            w.indent, w.marker = w.indent + (" " * len(w.marker)), f"{kind[1]}. " if kind[0] else "- "
+            w.indent, w.marker = (w.indent + " " * len(w.marker))[:INDENT], f"{kind[1]}. " if kind[0] else "- "
             kind[1] += 1
             return saved
         elif tag in ("dd", "blockquote"):
             saved = (w.indent, w.marker)
-            w.indent, w.marker = w.indent + " " * len(w.marker) + "    ", ""
+            w.indent, w.marker = (w.indent + " " * len(w.marker) + "    ")[:INDENT], ""
             return saved
         elif tag in ("pre", "xmp"):
             self.pre += 1
@@ -294,6 +306,7 @@ class Renderer:
     def _pop(self) -> None:
         tag, hidden, _, (was_hidden, was_unseen, *saved) = self.stack.pop()
         self.open[tag] -= 1
+        self.where[tag].pop()
         self.hidden, self.unseen = was_hidden, was_unseen
         if hidden:
             return
@@ -368,15 +381,19 @@ def render(html: str | None) -> tuple[str, int, int]:
     """Visible text of a page, and its numbers of tables and list items."""
     r, at, n = Renderer(), 0, len(html or "")
     html = html or ""
+    last = html.rfind(">") + 1  # no tag ends beyond
     while at < n:
-        m = _TAG.search(html, at)
+        m = _TAG.search(html, at, last) if at < last else None
         if not m:
-            r.text(html[at:])
+            stop = html.find("<!--", at)
+            r.text(html[at : stop if stop >= 0 else n])
             break
         if m.start() > at:
             r.text(html[at : m.start()])
         at = m.end()
         if not m[2]:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break  # a comment that never ends
             continue
         tag = m[2].lower()
         if m[1]:

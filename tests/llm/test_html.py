@@ -1,6 +1,7 @@
 """Rendering of pages as text."""
 
 import random
+import time
 
 from quarrygraph.llm.html import extract, render
 
@@ -77,6 +78,67 @@ def test_words_survive():
         assert sorted("".join(got)) == sorted("".join(words))
 
 
+# --- a plain layout of random pages ---------------------------------------------------------
+
+
+def page(rng, depth=0, listed=False):
+    """HTML of a random block, and its lines and gaps by the rules of the docstring."""
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 9)))
+    say = lambda: " ".join(word() for _ in range(rng.randrange(1, 6)))
+    kind = rng.choice(["p", "div", "list", "table", "pre", "hidden", "quote"] if depth < 3 else ["p", "pre"])
+    if kind == "p":
+        s = say()
+        return f"<p>{s.replace(' ', rng.choice([' ', chr(10) + '  ']))}" + rng.choice(["</p>", ""]), [1, s, 1]
+    if kind == "pre":
+        rows = [" " * rng.randrange(3) + word() for _ in range(rng.randrange(1, 4))]
+        return f"<pre>{chr(10).join(rows)}</pre>", [1, *rows, 1]
+    if kind == "table":
+        rows = [[say() for _ in range(rng.randrange(1, 4))] for _ in range(rng.randrange(1, 4))]
+        width = [max(len(r[c]) for r in rows if c < len(r)) for c in range(max(map(len, rows)))]
+        lines = ["  ".join(x.ljust(width[c]) for c, x in enumerate(r)).rstrip() for r in rows]
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{x}" for x in r) for r in rows) + "</table>", [1, *lines, 1]
+    if kind == "list":
+        ordered, html, out = rng.random() < 0.5, "", []
+        for k in range(rng.randrange(1, 4)):
+            s, inner = say(), [page(rng, depth + 1, True) for _ in range(rng.randrange(2))]
+            mark = f"{k + 1}. " if ordered else "- "
+            html += f"<li>{s}" + "".join(h for h, _ in inner)
+            out += [mark + s, 0] + [x if isinstance(x, int) else " " * len(mark) + x for _, o in inner for x in o] + [0]
+        tag = "ol" if ordered else "ul"
+        return f"<{tag}>{html}</{tag}>", [0 if listed else 1, *out, 0 if listed else 1]
+    inner = [page(rng, depth + 1, listed) for _ in range(rng.randrange(1, 4))]
+    html, out = "".join(h for h, _ in inner), [x for _, o in inner for x in o]
+    if kind == "hidden":
+        return f"<div {rng.choice(['hidden', chr(39).join(['style=', 'display: none', ''])])}>{html}</div>", []
+    if kind == "quote":
+        return f"<blockquote>{html}</blockquote>", [1, *(x if isinstance(x, int) else "    " + x for x in out), 1]
+    return f"<div>{html}</div>", [0, *out, 0]
+
+
+def test_against_plain_layout():
+    rng = random.Random(12)
+    for _ in range(3000):
+        blocks = [page(rng) for _ in range(rng.randrange(1, 5))]
+        lines, gap = [], 0
+        for x in (x for _, o in blocks for x in o):
+            if isinstance(x, int):
+                gap = max(gap, x)
+            else:
+                lines += ([""] * gap if lines else []) + [x]
+                gap = 0
+        html = "".join(h for h, _ in blocks)
+        assert text(html) == "\n".join(lines), html
+
+
+def test_time_grows_with_length():
+    """Pages of about a megabyte that hold one piece of broken or odd markup again and again."""
+    bits = ["<a ", "<a '", '<a ">" ', "<!-", "<!--", "<a <a>", "</b", "<td>x", "<td colspan=1000>x", "<td rowspan=9999>x", "<tr><td rowspan=50>x<td>y", "<blockquote>x", "<ul><li>x", "<dd>x", "<b>", "<b></i>", "<select><option>", "<script>", "&amp", "<p>", "<table><tr><td>", "<span>x</div>"]
+    for x in bits:
+        began = time.time()
+        render("<table>" * x.startswith(("<td", "<tr")) + x * (1_000_000 // len(x)))
+        assert time.time() - began < 60, x
+
+
 def test_extract(spark):
     rows = [(1, "u", "<p>a", 5), (1, "u", "<p>a", 5), (None, None, None, None), (2, "v", "", 1)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
