@@ -7,6 +7,9 @@ of the overlapping bands, and every such run of diagonals lies within one band.
 bound are verified by an alignment that keeps to the band's diagonals; exact occurrences are
 found before that by a plain search.
 
+Shared q-grams are counted in slices of bounded size. Where a text and an item both repeat one byte, the runs are counted as
+wholes: their pairs fill a trapezium over the diagonals. Windows of equal bytes are aligned with an item once.
+
 The benchmark is a query set: it is taken in blocks of at most BLOCK_BYTES of item text,
 whose index is shipped to the tasks, and every document is read against each block. Nothing is
 shuffled, whatever documents share.
@@ -14,7 +17,8 @@ shuffled, whatever documents share.
 Texts are compared as UTF-8 bytes with A-Z lower-cased and white space bytes as spaces; positions
 are bytes. The edit budget is the rate times the item's bytes, less where the lemma needs it
 (e <= m / q - 1). Items of fewer than q bytes, and null texts or items, match nothing. Repeated rows
-give their matches again; equal items are separate items. Empty tables give no rows.
+give their matches again; equal items are separate items. Empty tables give no rows. Columns other than doc_id, item_id and text
+are not read by contamination(); clean() returns all columns of the documents, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, chunks, text_bytes
 
-Q, RATE, BLOCK_BYTES = 8, 0.1, 1_000_000
+#: Shared q-grams, or cells of runs, that are looked at together.
+SLICE = 1 << 20
+Q, RATE, BLOCK_BYTES = 8, 0.1, 4_000_000
 _NORMAL = LOWER.copy()
 _NORMAL[[9, 10, 11, 12, 13]] = 32
 _SCHEMA = "doc_id long, item_id long, start long, end long, edits long, item_bytes long"
@@ -65,6 +71,66 @@ def align(item: np.ndarray, text: np.ndarray, width: int, most: int) -> tuple[in
     return None if edits > most else (edits, int(row[best] & 0xFFFFFFFF), m + best)
 
 
+def _runs(*same: np.ndarray) -> np.ndarray:
+    """Where runs begin: neighbours are of one run if they agree in all columns; the last column, if there are three, goes up by one."""
+    if not len(same[0]):
+        return np.empty(0, np.int64)
+    new = (same[0][1:] != same[0][:-1]) | (same[1][1:] != same[1][:-1])
+    if len(same) > 2:
+        new |= same[2][1:] != same[2][:-1] + 1
+    return np.flatnonzero(np.concatenate([[True], new]))
+
+
+def _slices(length: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Slices of items whose lengths sum to about SLICE, or of one item where that is longer."""
+    total, k = np.cumsum(length), 0
+    while k < len(length):
+        to = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + SLICE, "right")))
+        yield k, to
+        k = to
+
+
+def _trapezium(low: int, r: int, s: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Cells and their numbers of shared q-grams, of runs of r and s equal ones whose lowest diagonal is low."""
+
+    def up_to(x: np.ndarray) -> np.ndarray:  # pairs on the first x + 1 diagonals
+        half = lambda y: np.where(y >= 0, (y + 1) * (y + 2) // 2, 0)
+        return half(x) - half(x - r) - half(x - s) + half(x - r - s)
+
+    end = (low + r + s - 2) // width + 1
+    for begin in range(low // width, end, SLICE):
+        cell = np.arange(begin, min(begin + SLICE, end), dtype=np.int64)
+        yield cell, up_to((cell + 1) * width - 1 - low) - up_to(cell * width - 1 - low)
+
+
+class _Counts:
+    """Sums by key of what is added, held merged."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size, self.base = 0, 0
+
+    def add(self, key: np.ndarray, n: np.ndarray | None) -> None:
+        """n is 1 where it is None; else keys are distinct."""
+        if n is None:
+            key, n = np.unique(key, return_counts=True)
+        self.parts.append((key, n))
+        self.size += len(key)
+        if self.size > 2 * self.base + SLICE:
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        key = np.concatenate([np.empty(0, np.int64), *(k for k, _ in self.parts)])
+        n = np.concatenate([np.empty(0, np.int64), *(n for _, n in self.parts)])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        first = _runs(key, key)
+        if len(first):
+            key, n = key[first], np.add.reduceat(n, first)
+        self.parts, self.size, self.base = [(key, n)], len(key), len(key)
+        return key, n
+
+
 class Block:
     """Some items and the index of their q-grams, which is built where it is first used."""
 
@@ -82,11 +148,14 @@ class Block:
         gram = np.concatenate([np.empty(0, np.uint64), *grams])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.empty(0, np.int64), *(np.arange(len(g)) for g in grams)])
+        run = _runs(gram, item)  # places of one q-gram side by side are one entry
+        length = np.diff(np.append(run, len(gram))).astype(np.int32)
+        gram, item, place = gram[run], item[run].astype(np.int32), place[run].astype(np.int32)
         order = np.argsort(gram, kind="stable")
         key, first, count = np.unique(gram[order], return_index=True, return_counts=True)
         flags = np.zeros(1 << 22, bool)
         flags[self._slot(key)] = True
-        return key, first, count, item[order], place[order], flags
+        return key, first, count, item[order], place[order], length[order], flags
 
     @staticmethod
     def _slot(grams: np.ndarray) -> np.ndarray:
@@ -94,18 +163,29 @@ class Block:
 
     def bands(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items and first cells of the bands that reach the bound, in a run of texts."""
-        key, first, count, item, place, flags = self.index
+        key, first, count, item, place, long, flags = self.index
         grams = qgrams(data)
         at = np.flatnonzero(flags[self._slot(grams)])
         k = np.searchsorted(key, grams[at])
         k[k == len(key)] = 0
         ok = key[k] == grams[at]
         at, k = at[ok], k[ok]
+        run = _runs(k, k, at)
+        length = np.diff(np.append(run, len(at)))
+        at, k = at[run], k[run]
         many = count[k]
-        post = np.repeat(first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        who = item[post]
-        cell = (np.repeat(at, many) - place[post]) // (self.edits[who] + 1) + (1 << 38)
-        found, n = np.unique(who << 40 | cell, return_counts=True)
+        counted = _Counts()
+        for lo, hi in _slices(many):
+            n = many[lo:hi]
+            post = np.repeat(first[k[lo:hi]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            who, begin, r, s = item[post].astype(np.int64), np.repeat(at[lo:hi], n), np.repeat(length[lo:hi], n), long[post].astype(np.int64)
+            width, least = self.edits[who] + 1, begin - place[post] - s + 1  # the lowest diagonal
+            one = (r == 1) & (s == 1)
+            counted.add(who[one] << 40 | least[one] // width[one] + (1 << 38), None)
+            for x in np.flatnonzero(~one).tolist():
+                for cells in _trapezium(int(least[x]), int(r[x]), int(s[x]), int(width[x])):
+                    counted.add(int(who[x]) << 40 | cells[0] + (1 << 38), cells[1])
+        found, n = counted.total()
         beside = np.zeros(len(n), np.int64)
         near = np.flatnonzero(found[1:] == found[:-1] + 1)
         beside[near] = n[near + 1]
@@ -120,6 +200,7 @@ class Block:
     def matches(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item, start, end, edits) of the items' occurrences, of overlapping ones the best."""
         found = set()
+        aligned: dict[tuple[int, int, bytes], tuple[int, int, int] | None] = {}
         data = _NORMAL[data]
         for i, cell in zip(*(x.tolist() for x in self.bands(data))):
             e, item = int(self.edits[i]), self.items[i]
@@ -135,7 +216,12 @@ class Block:
                     continue
                 # before the row's start the band's text is absent, so nothing matches there
                 pad = np.full(a - low, -1, np.int16)
-                if got := align(item.astype(np.int16), np.concatenate([pad, data[a:b].astype(np.int16)]), 2 * (e + 1), e):
+                window = (i, a - low, data[a:b].tobytes())
+                if window not in aligned:
+                    if len(aligned) > 10_000:
+                        aligned.clear()
+                    aligned[window] = align(item.astype(np.int16), np.concatenate([pad, data[a:b].astype(np.int16)]), 2 * (e + 1), e)
+                if got := aligned[window]:
                     start = max(low + got[1], a) - int(off[row])
                     found.add((row, i, got[0], start, min(low + got[2], b) - int(off[row])))
         kept: list[tuple[int, int, int, int, int]] = []
@@ -183,16 +269,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs in which no item occurs, with all their columns."""
+    names = docs.columns
+    at = names.index("text")
+    out = docs.toDF(*(f"_{i}" for i in range(len(names))))
     for block in _blocks(benchmark, rate):
         shipped = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             b: Block = shipped.value
-            for c in chunks(batches):
+            for c in chunks(batches, f"_{at}"):
                 good = np.ones(c.num_rows, bool)
                 if len(b.items):
-                    good[[m[0] for m in b.matches(*text_bytes(c.column("text")))]] = False
+                    good[[m[0] for m in b.matches(*text_bytes(c.column(at)))]] = False
                 yield c.filter(pa.array(good))
 
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+        out = out.mapInArrow(keep, out.schema)
+    return out.toDF(*names)
