@@ -13,6 +13,8 @@ spark.sql.autoBroadcastJoinThreshold; beyond that the join is salted, so that a
 Defined results: null text stays null and its page counts for the host; a text is cut at line
 feeds only; lines of white space alone are never dropped; a text all of whose lines go becomes
 empty. Null is a host like any other. Repeated rows are separate pages. Lines are told apart by a 64-bit hash within their host.
+An empty table gives no rows. Columns may have any names; dedup_lines() adds n_lines and n_removed in place of columns
+called so, which without_boilerplate() keeps.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, quoted
+
 RATIO, LEAST_PAGES, SALTS = 0.05, 5, 16
 
 
@@ -30,7 +34,7 @@ def _spoken(line: Column) -> Column:
 
 def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """One row a host that has boilerplate lines: the host and their hashes."""
-    p = pages.select(F.col(host).alias("_host"), F.col(text).alias("_text"))
+    p = pages.select(F.col(quoted(host)).alias("_host"), F.col(quoted(text)).alias("_text"))
     hashes = F.array_distinct(F.transform(F.filter(F.split("_text", "\n"), _spoken), lambda x: F.xxhash64(x)))
     counted = p.select("_host", F.explode(hashes).alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least_pages)
     totals = p.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")).withColumnRenamed("_host", "_site")
@@ -40,19 +44,33 @@ def boilerplate(pages: DataFrame, host: str = "source", text: str = "text", rati
     )
 
 
-def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """pages with their boilerplate lines dropped, and the columns n_lines and n_removed."""
-    drop = boilerplate(pages, host, text, ratio, least_pages).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    # the page travels as one struct, so no column of it can clash with those used here
-    page = pages.select(F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("_page"), F.col(host).alias("_site"), F.col(text).alias("_text"))
+def _dropped(pages: DataFrame, host: str, text: str, ratio: float, least_pages: int) -> DataFrame:
+    """_page (a row of pages, as one struct, so none of its columns can clash with those used here), its new _text, and _n and _gone, its lines and those dropped."""
+    # written first, so that its real size, not an estimate, says how it is joined: pages only move if it is large
+    drop = materialize(boilerplate(pages, host, text, ratio, least_pages), "boilerplate").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    page = pages.select(F.struct(*(F.col(quoted(c)).alias(f"_{i}") for i, c in enumerate(pages.columns))).alias("_page"), F.col(quoted(host)).alias("_site"), F.col(quoted(text)).alias("_text"))
     salted = page.withColumn("_at", F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int"))
     joined = salted.join(drop, (F.col("_at") == F.col("_salt")) & F.col("_site").eqNullSafe(F.col("_host")), "left")
     kept = F.filter(F.split("_text", "\n"), lambda x: ~(F.array_contains("_drop", F.xxhash64(x)) & _spoken(x)))
     out = joined.withColumn("_lines", F.split("_text", "\n")).withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept).otherwise(F.col("_lines")))
     count = lambda c: F.when(F.col("_text").isNull(), F.lit(0)).otherwise(c).cast("long")
     new = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join("_kept", "\n"))
-    same = [(new if c == text else F.col("_page").getField(c)).alias(c) for c in pages.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*same, count(F.size("_lines")).alias("n_lines"), count(F.size("_lines") - F.size("_kept")).alias("n_removed"))
+    return out.select("_page", new.alias("_text"), count(F.size("_lines")).alias("_n"), count(F.size("_lines") - F.size("_kept")).alias("_gone"))
+
+
+def _columns(pages: DataFrame, text: str, without: tuple[str, ...] = ()) -> list[Column]:
+    return [(F.col("_text") if c == text else F.col(f"_page._{i}")).alias(c) for i, c in enumerate(pages.columns) if c not in without]
+
+
+def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """pages with their boilerplate lines dropped, and the columns n_lines and n_removed."""
+    out = _dropped(pages, host, text, ratio, least_pages)
+    return out.select(*_columns(pages, text, ("n_lines", "n_removed")), F.col("_n").alias("n_lines"), F.col("_gone").alias("n_removed"))
+
+
+def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """The columns of pages, with the boilerplate lines dropped from the text."""
+    return _dropped(pages, host, text, ratio, least_pages).select(*_columns(pages, text))
 
 
 ORACLE = f"""
