@@ -37,6 +37,8 @@ from .anchors import SIZE, runs
 from .common import Hasher, chunks, materialize, text_bytes, tidy
 
 FRAGMENT_RUNS, BUCKET_SEGMENTS, HOT = 1 << 20, 1 << 12, 1 << 12
+#: Bytes a partition of what joins hold as a hash table.
+HASH_BYTES = 64_000_000
 ALL, SOME, SUPPLY, SPREAD = 1, 2, 4, 8  # what is known of a segment, and what its chunk has to do
 _U = np.uint64
 
@@ -209,14 +211,18 @@ def _entries(chunk: int, gram: np.ndarray, segment: np.ndarray, fragments: int)
     frag = (g % _U(fragments)).astype(np.int64)
     out = []
     by = np.argsort(frag, kind="stable")
-    cut = np.searchsorted(frag[by], np.arange(fragments + 1))
-    for f in range(fragments):
-        if cut[f] < cut[f + 1]:
-            at = by[cut[f] : cut[f + 1]]
-            out.append((f, chunk, g[at].tobytes(), s[at].tobytes(), times[at].tobytes()))
+    for at in _alike(frag[by]):
+        at = by[at]
+        out.append((int(frag[at[0]]), chunk, g[at].tobytes(), s[at].tobytes(), times[at].tobytes()))
     return out
 
 
+def _alike(ordered: np.ndarray) -> list[slice]:
+    """Runs of equal values."""
+    cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])).tolist() if len(ordered) else [0]
+    return [slice(lo, hi) for lo, hi in zip(cut[:-1], cut[1:])]
+
+
 def _name(fragments: int):
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -307,11 +313,9 @@ def _supply(buckets: int, fragments: int):
                     left, right = hasher(window, window + SIZE), hasher(window, window + SIZE // 2)
                     frag = (left % _U(fragments)).astype(np.int64)
                     by = np.argsort(frag, kind="stable")
-                    part = np.searchsorted(frag[by], np.arange(fragments + 1))
-                    for f in range(fragments):
-                        if part[f] < part[f + 1]:
-                            at = by[part[f] : part[f + 1]]
-                            rows.append((-1 - f, True, r["chunk"], window[at].tobytes(), left[at].tobytes(), right[at].tobytes(), None))
+                    for at in _alike(frag[by]):
+                        at = by[at]
+                        rows.append((-1 - int(frag[at[0]]), True, r["chunk"], window[at].tobytes(), left[at].tobytes(), right[at].tobytes(), None))
                 yield _rows(_SUPPLIED, rows)
 
     return supply
@@ -384,6 +388,13 @@ def _power_of_two(x: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, x)))))
 
 
+def _hashed(side: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """side, to be held as a hash table if the bytes of a partition, of the table that it is made of, allow that; else it is sorted, which can spill."""
+    size = table.agg(F.sum(sum(F.octet_length(c).cast("double") for c in columns))).first()[0] or 0
+    few = size / int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")) <= HASH_BYTES
+    return side.hint("shuffle_hash") if few else side
+
+
 def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; with keep_text also the bytes kept."""
     wanted = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -393,10 +404,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, hot: int = HOT) ->
     named = packed.select("chunk", "gram", "segment").mapInArrow(_name(fragments), _ENTRY)
     verdicts = materialize(named.groupBy("frag").applyInArrow(tidy(_judge(hot)), _VERDICT), "suffix-verdicts")
     supplied = verdicts.agg(F.sum("supplied")).first()[0] or 0
-    by_chunk = verdicts.groupBy("chunk").agg(F.collect_list(F.struct("gram", "segment", "flags")).alias("verdicts")).hint("shuffle_hash")
+    by_chunk = _hashed(verdicts.groupBy("chunk").agg(F.collect_list(F.struct("gram", "segment", "flags")).alias("verdicts")), verdicts, "gram", "segment", "flags")
     segments = packed.drop("ids", "offsets").join(by_chunk, "chunk").mapInArrow(_supply(_power_of_two(supplied / BUCKET_SEGMENTS), fragments), _SUPPLIED)
     found = materialize(segments.groupBy("frag").applyInArrow(tidy(_search), _FOUND), "suffix-found")
-    windows = found.groupBy("chunk").agg(F.collect_list(F.struct("windows")).alias("windows")).hint("shuffle_hash")
-    news = by_chunk.join(windows, "chunk", "full").hint("shuffle_hash")
+    windows = _hashed(found.groupBy("chunk").agg(F.collect_list(F.struct("windows")).alias("windows")), found, "windows")
+    news = _hashed(by_chunk.join(windows, "chunk", "full"), verdicts, "gram", "segment", "flags")
     out = packed.join(news, "chunk", "left").mapInArrow(_finish(keep_text), _RESULT)
     return out if keep_text else out.drop("kept")
