@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, per_row, text_bytes
+from .common import chunks, per_row, quoted, text_bytes
 from .ppm import Classes, Tally, grams
 
 ORDER, SAMPLE_BYTES = 3, 2_000_000
@@ -68,9 +68,9 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -
 
 
 def identify(docs: DataFrame, model: Classes, keep: list[str] | None = None) -> DataFrame:
-    """lang_pred, score and bits_per_byte of every row, behind its doc_id or the columns to keep."""
+    """lang_pred, score and bits_per_byte of every row, behind its doc_id or the columns to keep, which may have any names."""
     keep = keep or ["doc_id"]
-    wanted = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"))
+    wanted = docs.select(*(F.col(quoted(c)).alias(f"_{i}") for i, c in enumerate(keep)), F.col("text").cast("string").alias("text"))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +98,12 @@ def identify(docs: DataFrame, model: Classes, keep: list[str] | None = None) ->
 
 
 def in_known_language(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows whose text is in a language of docs' labels: not `und`, and scored least_score or more."""
-    columns = docs.columns
-    told = identify(docs, fit(docs), columns)
-    good = (F.col("lang_pred") != "und") & (F.col("score") >= least_score)
-    return told.filter(good).drop("lang_pred", "score", "bits_per_byte")
+    """The rows whose text is in a language of docs' labels: not `und`, and scored least_score or more. Columns may have any
+    names, lang_pred and score among them."""
+    n = len(docs.columns)
+    told = identify(docs, fit(docs), docs.columns).toDF(*(f"_{i}" for i in range(n)), "_lang", "_score", "_bits")
+    good = (F.col("_lang") != "und") & (F.col("_score") >= least_score)
+    return told.filter(good).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def language_id(docs: DataFrame, held_out_of: int = 5) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -70,7 +71,7 @@ def test_quality_every_rule_fires(spark):
         "repeat_words": " ".join([prose(15), again, prose(15), again, again, prose(15)]),
     }
     bad = [(1000 + k, t, "en", "a") for k, t in enumerate(planted.values())]
-    rows = {r.doc_id: r for r in quality.quality(spark.createDataFrame(clean + bad, "doc_id long, text string, lang string, source string"), rules=quality.REACHABLE).collect()}
+    rows = {r.doc_id: r for r in quality.quality(spark.createDataFrame(clean + bad, "doc_id long, text string, lang string, source string")).collect()}
     assert not any(rows[b[0]].base_failed for b in bad) and not any(rows[b[0]].kept for b in bad) and all(rows[c[0]].kept for c in clean)
     got = rows[1002], rows[1003]
     assert got[0].n_dup_lines == 30 and got[1].n_dup_lines == 0 and 0 < got[1].n_repeat_words < got[1].n_words / 2
@@ -165,6 +166,25 @@ def test_decontamination(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in truth}
 
 
+def test_decontamination_repetitive_texts():
+    """Runs and periods in texts and items, against every alignment; a megabyte of one byte takes seconds."""
+    rng = random.Random(3)
+    odd = ["a" * 90, "-" * 40 + "=" * 40, "ab" * 45, " " * 60 + "tail of words", "word " + "x" * 70, "a" * 30 + "b" * 8 + "a" * 30]
+    items = [*odd, "".join(rng.choice("ab") for _ in range(80))]
+    block = decontam.Block(list(range(len(items))), items, decontam.RATE)
+    texts = ["a" * 300, "b" + "a" * 89 + "b", "-" * 60 + "=" * 60, "ba" * 60, "x" * 66, " " * 200 + "tail of words", "a" * 29 + "b" * 8 + "a" * 31, "a" * 80 + "b" * 10, "", "ab" * 20]
+    texts += ["".join(rng.choice(["a" * 9, "b", "-" * 12, "ab", "=" * 20]) for _ in range(20)) for _ in range(30)]
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    off = np.cumsum([0, *map(len, data)])
+    got = {(row, i) for row, i, *_ in block.matches(np.concatenate(data), off)}
+    low = lambda t: decontam._NORMAL[np.frombuffer(t.encode(), np.uint8)].tobytes()
+    assert got == {(r, i) for r, t in enumerate(texts) for i, x in enumerate(items) if t and distance(low(x), low(t)) <= block.edits[i]}
+    began = time.time()
+    long = np.frombuffer(b"a" * 500_000 + b" " * 500_000, np.uint8)
+    assert {i for _, i, *_ in block.matches(long, np.array([0, len(long)]))} >= {0}
+    assert time.time() - began < 60
+
+
 def test_decontamination_blocks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(k, f"passage number {k} of many words that no text has {k * 7}") for k in range(9)], "item_id long, text string")
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 120)
@@ -255,9 +275,8 @@ def coded(text):
     return "".join(w + " " for w in WORD.findall(low)).encode() + b"\n"
 
 
-@pytest.mark.parametrize("parts", [False, True])
-def test_lm(docs, rows, parts):
-    order = 2
+@pytest.mark.parametrize("parts, order", [(False, 2), (True, 2), (False, lm.ORDER)])
+def test_lm(docs, rows, parts, order):
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
     got = lm.lm_score(docs, order=order, model_bytes=20_000 if parts else lm.MODEL_BYTES).collect()
     words = lambda t: [*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None]
@@ -296,6 +315,58 @@ def test_language_id(spark, docs, empty):
     assert kept.columns == docs.columns and kept.filter("text is null").count() == 0
 
 
+def plain_bits(text, trie, order):
+    """Code length by escapes of method C, without exclusion."""
+    total, past = 0.0, b"\n" * order
+    for s in text:
+        for k in range(order, -1, -1):
+            c = trie.get(past[len(past) - k :])
+            if c:
+                n, d = sum(c.values()), len(c)
+                if s in c:
+                    total -= math.log2(c[s] / (n + d))
+                    break
+                total -= math.log2(d / (n + d))
+        else:
+            total += 8
+        past = (past + bytes([s]))[-order:]
+    return total
+
+
+def test_language_id_code_lengths(docs, rows):
+    crc = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5
+    names = sorted({r[2] for r in rows if r[2] and r[1] and crc(r[0])})
+    tries = [grams_of([r[1].encode() for r in rows if r[2] == x and r[1] and crc(r[0])], langid.ORDER) for x in names]
+    want = []
+    for r in rows:
+        t = (r[1] or "").encode()
+        if not any(map(str.isalpha, r[1] or "")):
+            want.append((r[0], crc(r[0]) == 0, "und", 0.0))
+            continue
+        cost = [plain_bits(t, x, langid.ORDER) for x in tries]
+        score = 1 / sum(2 ** (-(c - min(cost)) / math.sqrt(len(t))) for c in cost)
+        want.append((r[0], crc(r[0]) == 0, names[cost.index(min(cost))], score))
+    got = sorted(((r.doc_id, r.held_out, r.lang_pred, r.score) for r in langid.language_id(docs).collect()), key=key)
+    for a, b in zip(got, sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-6, (a, b)
+    assert len({w[2] for w in want}) > 2
+
+
+def test_clashing_columns(spark, rows):
+    """Columns of any names come through the stages that return the columns of documents."""
+    odd = ["doc_id", "text", "lang", "source", "score", "lang_pred", "bits_per_byte", "n_lines", "n_removed", "a.b", "c`d", "_text", "_page", "_0", "_gone", "_row", "th"]
+    mine = [(*r[:4], *range(len(odd) - 4)) for r in rows]
+    schema = ", ".join(f"`{c.replace('`', '``')}` {t}" for c, t in zip(odd, ["long", "string", "string", "string"] + ["int"] * 20))
+    frame = spark.createDataFrame(mine, schema)
+    bench = spark.createDataFrame([(1, rows[2][1][:200])], "item_id long, text string")
+    whole = {r[:1] + r[2:] for r in mine}
+    for out in (langid.in_known_language(frame), lines.without_boilerplate(frame), ngram_join.one_of_each(frame), decontam.clean(frame, bench)):
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == odd and got and {r[:1] + r[2:] for r in got} <= whole
+    for out in (quality.quality(frame), suffix_dedup.remove_repeats(frame), decontam.contamination(frame, bench), tokens.token_counts(frame, public_tokenizers.path("byte_bpe_50k.json")), lm.lm_score(frame), packing.pack(frame, public_tokenizers.path("word_bpe_49k.json")), langid.language_id(frame), ngram_join.similar(frame), lines.dedup_lines(frame)):
+        assert out.count() >= len(rows) or "item_id" in out.columns
+
+
 # --- 8 --------------------------------------------------------------------------------------
 
 

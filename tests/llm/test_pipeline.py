@@ -12,25 +12,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from quarrygraph.llm import decontam, langid, lines
 
-from tests.llm.test_operators import WORD, check_packing, distance, grams_of, plain_similar
-
-
-def bits(text, trie, order):
-    """Code length by escapes of method C, without exclusion."""
-    total, past = 0.0, b"\n" * order
-    for s in text:
-        for k in range(order, -1, -1):
-            c = trie.get(past[len(past) - k :])
-            if c:
-                n, d = sum(c.values()), len(c)
-                if s in c:
-                    total -= math.log2(c[s] / (n + d))
-                    break
-                total -= math.log2(d / (n + d))
-        else:
-            total += 8
-        past = (past + bytes([s]))[-order:]
-    return total
+from tests.llm.test_operators import WORD, check_packing, distance, grams_of, plain_bits, plain_similar
 
 
 def test_run(spark, tmp_path):
@@ -63,7 +45,7 @@ def test_run(spark, tmp_path):
     def known(text):
         if not text or not any(map(str.isalpha, text)):
             return False
-        cost = [bits(text.encode(), t, order) for t in tries]
+        cost = [plain_bits(text.encode(), t, order) for t in tries]
         return 1 / sum(2 ** (-(c - min(cost)) / math.sqrt(len(text.encode()))) for c in cost) >= 0.5
 
     docs = [r for r in rows if known(r[1])]
