@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text a kernel looks at together; working arrays are 8 to 60 times this.
 CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1 << 13
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -40,12 +41,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     survives the loss of executors. Shuffle files of the write are freed when it ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
+    before, rows = spark.conf.get(_CLEANUP, "false"), spark.conf.get(_BATCH)
     spark.conf.set(_CLEANUP, "true")
+    spark.conf.set(_BATCH, min(int(rows), 2048) if int(rows) > 0 else 2048)  # texts are long: less memory on both sides of the pipe
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+        spark.conf.set(_BATCH, rows)
     _written.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table._written_to = (spark, path)

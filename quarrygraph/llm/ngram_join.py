@@ -471,7 +471,8 @@ def _parts(most: int):
         cls, cluster = whole["cls"][one], whole["cluster"][one]
         one = one[np.concatenate([[True], (cls[1:] != cls[:-1]) | (cluster[1:] != cluster[:-1])])]  # a class that several tasks have sent counts once
         whole = {c: x[one] for c, x in whole.items()}
-        grams = table["grams"].take(pa.array(one)).to_pylist()
+        data, off = text_bytes(table["grams"].combine_chunks())
+        grams = [data[off[k] : off[k + 1]].view(_U) for k in one.tolist()]
         bin_, i, j, f = (table[c][0].as_py() for c in ("bin", "i", "j", "frag"))
         del table
         cut = np.flatnonzero(np.concatenate([[True], whole["cluster"][1:] != whole["cluster"][:-1], [True]]))
@@ -483,7 +484,7 @@ def _parts(most: int):
             block = whole["block"][lo:hi]
             left = np.flatnonzero(block == i)
             right = left if i == j else np.flatnonzero(block == j)
-            segment = [np.frombuffer(x, _U) for x in grams[lo:hi]]
+            segment = grams[lo:hi]
             row = np.repeat(np.arange(hi - lo), list(map(len, segment)))
             name, times = np.unique(np.concatenate(segment), return_inverse=True, return_counts=True)[1:]
             shared = times[name] > 1
@@ -566,6 +567,7 @@ def links(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[DataFrame, DataFrame
     sets = wanted.select("text", "th").mapInArrow(_needed(bitmap), "text string, th long").join(home, "th")
     counted = sets.select("text", "cluster", "m", "cls", "n", "copies", "fragments").mapInArrow(_cut(bins, sizes), _CUT).groupBy("bin", "i", "j", "frag").applyInArrow(tidy(_parts(sizes.columns)), _COUNTED)
     linked = materialize(counted.groupBy("bin", "i", "j").applyInArrow(tidy(_sums), _LINKED), "ngram-links")
+    bitmap.destroy()
     others = linked.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("others").alias("others"))
     return members, classes, others, linked.filter("b is not null").select("a", "b")
 

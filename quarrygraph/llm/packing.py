@@ -32,7 +32,7 @@ from .tokens import tokenizer
 
 OPEN_WINDOWS, FAN_IN, LEAST_ROOM = 32, 64, 16
 #: Words and pieces that a worker remembers.
-WORDS, PIECES = 1_000_000, 200_000
+WORDS, PIECES = 400_000, 100_000
 #: The pre-tokenizer's pieces of lower-case words whose characters are all below U+0250, where normal
 #: form C and lower case are made character by character; what byte-level encoding writes for bytes.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
