@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .model import Graph, resolve
-from .operators import inventory, merge, rules, search, traverse, validate
+from .operators import gates, inventory, merge, rules, search, traverse, validate
 from .plans import catalog, cookbook, render
 from .sources import application, database, files, integration
 
@@ -32,6 +32,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         c = sub.add_parser(name)
         c.add_argument("graph")
         if name == "validate":
+            c.add_argument("--dialect", choices=gates.ALL)
             c.add_argument("--strict", action="store_true")
         if name == "rules":
             c.add_argument("--catalogue", choices=catalog.ALL, default="database")
@@ -68,7 +69,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     g = Graph.load(spark, o.graph)
     if o.command == "validate":
-        report, status = validate.report(g, {"ids": validate.bad_ids, "ends": validate.dangling, "orphans": validate.orphans, "provenance": validate.provenance})
+        report, status = validate.report(g, {"ids": validate.bad_ids, "ends": validate.dangling, "orphans": validate.orphans, "provenance": validate.provenance, **(gates.ALL[o.dialect]() if o.dialect else {})})
         show(report)
         s = status.first()["status"] or "PASS"
         print(s)

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import Rounds
+
 K1, B, RRF_K = 1.5, 0.4, 60
 STOPWORDS = frozenset("a an and are as at be by for from in is it of on or that the this to was with".split())
 
@@ -63,6 +65,19 @@ def bm25(idx: Index, terms: DataFrame, top_k: int = 10) -> DataFrame:
     return scored.select("doc", F.round("s", 4).alias("score"), "matched").orderBy(F.desc("score"), "doc").limit(top_k)
 
 
+def bm25_scan(docs: DataFrame, fields: dict[str, float], terms: DataFrame, top_k: int = 10) -> DataFrame:
+    """What bm25() gives, without an index: one pass over docs (doc and the fields) cuts the texts into words and keeps of each
+    only its length and the query's words, which are as few as the query has."""
+    asked = {r.term: r.weight for r in terms.select("term", "weight").collect()}
+    parts = [F.struct(F.lit(w).alias("w"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f, w in fields.items()]
+    each = docs.select("doc", F.transform(F.array(*parts), lambda f: F.struct(f["w"].alias("w"), F.size(f["t"]).alias("n"), F.filter(f["t"], lambda x: x.isin(*asked)).alias("t"))).alias("f"))
+    length = F.greatest(F.aggregate("f", F.lit(0), lambda n, f: n + f["n"]), F.lit(1))
+    each = Rounds(docs.sparkSession).hold(each.select("doc", length.alias("length"), F.transform("f", lambda f: F.struct(f["w"].alias("w"), f["t"].alias("t"))).alias("f")))
+    postings = each.select("doc", "length", F.explode("f").alias("f")).select("doc", "length", F.col("f.w").alias("w"), F.explode("f.t").alias("term")).groupBy("doc", "length", "term").agg(F.sum("w").alias("tf"))
+    whole = Index(postings.drop("length"), each.select("doc", F.lit(1.0).alias("prior"), "length"), postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return bm25(whole, terms, top_k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -20,23 +21,44 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_bases: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Delete what Rounds wrote; runs by itself when Python ends. Results that are read from it are gone then."""
+    for spark, path in _bases:
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has gone; its folder goes with it
+            pass
+    _bases.clear()
+
+
+atexit.register(release)
+
+
 class Rounds:
-    """Writes the state of each round of an iteration and deletes the one before the last."""
+    """Writes the state of each round of an iteration and deletes the one before the last. All of it goes with release()."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", []
+        _bases.append((spark, self.base))
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{len(self.paths)}"
         df.write.parquet(path)
         self.paths.append(path)
         if len(self.paths) > 2 and (old := self.paths[-3]):
-            target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
-            target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(self.spark, old)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def hold(self, df: DataFrame) -> DataFrame:
         """A table that stays."""
-        path = f"{self.base}-{uuid.uuid4().hex}"
+        path = f"{self.base}/held-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)

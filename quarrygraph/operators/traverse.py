@@ -6,6 +6,8 @@ round long and survives lost executors. What is tested on the driver is one coun
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,15 +139,15 @@ def paths(edges: DataFrame, least: int, most: int, closed: bool = False) -> Data
     return out
 
 
-def waves(nodes: DataFrame, depends: DataFrame, most: int = 100) -> DataFrame:
-    """id and wave: a node's wave comes when all that it depends on (src on dst) have gone. Where none can
+def waves(nodes: DataFrame, depends: DataFrame) -> DataFrame:
+    """id and wave of every node, in as many waves as it takes: a node's wave comes when all that it depends on (src on dst) have gone. Where none can
     go, the one with the fewest left, the first of those, goes alone."""
     rounds = Rounds(nodes.sparkSession)
     left = nodes.select("id", "ordinal")
     need = depends.filter("src <> dst").select("src", "dst").distinct()
     need = rounds.hold(need.join(left.select(F.col("id").alias("src")), "src", "left_semi").join(left.select(F.col("id").alias("dst")), "dst", "left_semi"))
     out = None
-    for n in range(1, most + 1):
+    for n in count(1):
         unmet = need.groupBy("src").agg(F.count(F.lit(1)).alias("unmet"))
         state = rounds.hold(left.join(unmet, F.col("id") == F.col("src"), "left").select("id", "ordinal", F.coalesce("unmet", F.lit(0)).alias("unmet")))
         free, blocked = state.agg(F.count_if(F.col("unmet") == 0), F.count_if(F.col("unmet") > 0)).first()

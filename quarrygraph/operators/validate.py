@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Graph
@@ -80,7 +80,11 @@ def report(graph: Graph, checks: dict[str, Check]) -> tuple[DataFrame, DataFrame
         except Exception as e:
             parts.append(spark.createDataFrame([("WARNING", "RULE_ERROR", f"{name}: {type(e).__name__}")], "severity string, rule string, detail string"))
     every = reduce(DataFrame.unionByName, parts)
-    found = every.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("detail")), 1, 50).alias("details"))
+    # the first 50 of a rule are found before the shuffle, so a rule that hits many rows gathers no more than 50 a task
+    first = F.row_number().over(Window.partitionBy("severity", "rule").orderBy("detail"))
+    shown = every.filter("detail is not null").distinct().withColumn("_r", first).filter("_r <= 50").groupBy("severity", "rule").agg(F.array_sort(F.collect_list("detail")).alias("details"))
+    found = every.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n")).join(shown, ["severity", "rule"], "left")
+    found = found.select("severity", "rule", "n", F.coalesce("details", F.array().cast("array<string>")).alias("details"))
     rank = F.create_map(*[x for k, v in _RANK.items() for x in (F.lit(k), F.lit(v))])
     status = found.agg(F.min(rank[F.col("severity")]).alias("worst")).select(F.when(F.col("worst") == 0, "FAIL").when(F.col("worst") == 1, "WARN").otherwise("PASS").alias("status"))
     return found.orderBy(rank[F.col("severity")], "rule"), status

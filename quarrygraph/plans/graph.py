@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import Graph
-from ..operators import inventory, merge, resolve, rules, traverse, validate
+from ..operators import gates, inventory, merge, resolve, rules, traverse, validate
 from ..sources.supply import WEIGHTS, supply_graph, table
 
 Q: dict = {}
@@ -257,6 +257,30 @@ def validation_report(spark, sf_dir):
     return validate.report(g, checks)[0].select("severity", "rule", "n", F.col("details")[0].alias("detail"))
 
 
+#: Customers and parts without orders, nations without suppliers, edges between regions, and shares of what is delivered and labelled.
+@query(f"""WITH {_EDGES}, {_NODES},
+w AS (SELECT 'customer:'||c_custkey AS id, n_regionkey AS estate FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 'supplier:'||s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+x AS (SELECT DISTINCT 'customer:'||o_custkey AS src, 'supplier:'||l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+f AS (SELECT 'ERROR' AS severity, 'CUSTOMER_WITHOUT_ORDER' AS rule, name AS detail FROM v WHERE label = 'customer' AND id NOT IN (SELECT dst FROM e WHERE type = 'PLACED_BY')
+ UNION ALL SELECT 'WARNING', 'ORDER_WITHOUT_PART', name FROM v WHERE label = 'order' AND id NOT IN (SELECT src FROM e WHERE type = 'CONTAINS')
+ UNION ALL SELECT 'INFO', 'EDGES_BETWEEN_REGIONS', 'n '||count(*) FROM x JOIN w a ON a.id = x.src JOIN w b ON b.id = x.dst WHERE a.estate <> b.estate HAVING count(*) > 0
+ UNION ALL SELECT 'WARNING', 'ORDERS_FINISHED', CAST(round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 1) AS VARCHAR) FROM orders HAVING round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 1) < 80
+ UNION ALL SELECT 'WARNING', 'SEVERAL_REGIONS', 'n '||count(*) FROM region HAVING count(*) > 1)
+SELECT severity, rule, count(*) AS n, min(detail) AS first FROM f GROUP BY ALL""")
+def dialect_gates(spark, sf_dir):
+    g, orders, t = supply_graph(spark, sf_dir), table(spark, sf_dir, "orders"), lambda n: table(spark, sf_dir, n)
+    of = [t(n).join(t("nation"), F.col(f"{n[0]}_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit(n + ":"), F.col(k).cast("string")).alias("id"), F.create_map(F.lit("estate"), F.col("n_regionkey").cast("string")).alias("props")) for n, k in (("customer", "c_custkey"), ("supplier", "s_suppkey"))]
+    sold = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("customer:"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
+    found = [
+        gates.lacking("customer", ["PLACED_BY"], "ERROR", "CUSTOMER_WITHOUT_ORDER", "dst")(g),
+        gates.lacking("order", ["CONTAINS"], "WARNING", "ORDER_WITHOUT_PART")(g),
+        gates.number(gates.crossing(Graph(of[0].unionByName(of[1]), sold)), "INFO", "EDGES_BETWEEN_REGIONS", "n > 0"),
+        validate.below(gates.percent(orders, F.col("o_orderstatus") == "F"), "pct", 80.0, "WARNING", "ORDERS_FINISHED"),
+        gates.number(g.by_label("region"), "WARNING", "SEVERAL_REGIONS", "n > 1"),
+    ]
+    return gates.united(*found).groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"), F.min("detail").alias("first"))
+
+
 @query("""SELECT lang, count(*) AS n, count(l.doc_id) AS hits, round(100.0 * count(l.doc_id) / count(*), 1) AS coverage FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY lang""")
 def coverage_ratio(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("known")), "doc_id", "left")

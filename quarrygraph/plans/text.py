@@ -17,20 +17,12 @@ def _sql_tokens(text: str) -> str:
     return f"list_filter(list_transform(string_split_regex({spaced}, '[^A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) > 1 AND w NOT IN ({_STOP}))"
 
 
-@query("""WITH h AS (SELECT doc_id, 'sql:'||substr(sha1(lower(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')))), 1, 16) AS id FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))
-SELECT id, count(*) AS n, min(doc_id) AS first FROM h GROUP BY id HAVING count(*) >= 2""")
-def content_hash_dedupe(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
-    h = d.select("doc_id", ids.content_id("sql", F.lower(F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " ")))).alias("id"))
-    return h.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).filter("n >= 2")
-
-
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @query(f"""WITH h AS (SELECT doc_id, 'sql:'||substr(sha1(translate(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' ', 'g'), ' '), '{_CAPITALS}', '{_SMALL}')), 1, 16) AS id FROM documents)
 SELECT id, count(*) AS n, min(doc_id) AS first FROM h GROUP BY id HAVING count(*) >= 2""")
-def content_hash_all(spark, sf_dir):
+def content_hash_dedupe(spark, sf_dir):
     """Copies among all documents, in any script. Only A to Z are the same in either case; null text counts as empty."""
     d = table(spark, sf_dir, "documents")
     spaced = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[ \\t\\n\\r]+", " "))
@@ -52,13 +44,14 @@ q AS (SELECT unnest(['license', 'version', 'thorndre', 'einheit']) AS term),
 b AS (SELECT doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.6 + 0.4 * length / mean))) AS s FROM p JOIN q USING (term) JOIN f USING (term) JOIN l USING (doc), n GROUP BY doc)"""
 
 
-def _index(spark, sf_dir):
-    return search.index(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "source"), {"text": 1.0, "source": 3.0})
+def _lexical(spark, sf_dir, top_k):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "text", "source")
+    return search.bm25_scan(docs, {"text": 1.0, "source": 3.0}, search.query_terms(spark, _QUERY), top_k).select("doc", "score")
 
 
 @query(f"WITH {_BM25} SELECT doc, round(s, 4) AS score FROM b ORDER BY score DESC, doc LIMIT 20")
 def bm25_search(spark, sf_dir):
-    return search.bm25(_index(spark, sf_dir), search.query_terms(spark, _QUERY), 20).select("doc", "score")
+    return _lexical(spark, sf_dir, 20)
 
 
 _VEC = "v AS (SELECT vec_id AS doc, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]), 4) AS score FROM embeddings)"
@@ -78,8 +71,7 @@ def vector_topk(spark, sf_dir):
 SELECT doc, round(sum(1 / (60 + r)), 6) AS score FROM (SELECT * FROM r1 WHERE r <= 50 UNION ALL SELECT * FROM r2 WHERE r <= 50) GROUP BY doc ORDER BY score DESC, doc LIMIT 10""")
 def rrf_fusion(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("vector"))
-    lexical = search.bm25(_index(spark, sf_dir), search.query_terms(spark, _QUERY), 50).select("doc", "score")
-    return search.fuse([lexical, search.nearest(v, _query_vector(spark, sf_dir), 50)])
+    return search.fuse([_lexical(spark, sf_dir, 50), search.nearest(v, _query_vector(spark, sf_dir), 50)])
 
 
 @query("""SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path,

@@ -32,7 +32,7 @@ def _text(e: ET.Element, *names: str) -> str:
     for n in names:
         for c in e.iter():
             if _local(c.tag).lower() == n and c.text and c.text.strip():
-                return c.text.strip()[:400]
+                return c.text.strip()
     return ""
 
 

@@ -104,7 +104,7 @@ def test_search(spark):
     assert [r.doc for r in search.fuse(lists, 3).collect()] == [2, 1, 4]
 
 
-def test_content_hash_all(spark, tmp_path):
+def test_content_hash_dedupe(spark, tmp_path):
     texts = ["Plain  text", " plain\tTEXT ", "Größe é", "größe  É", "Größe\né", "漢字", "漢字", None, "", " \n", "once", "É"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     plain = {}
@@ -112,7 +112,7 @@ def test_content_hash_all(spark, tmp_path):
         spaced = re.sub("[ \t\n\r]+", " ", t or "").strip(" ")
         plain.setdefault("".join(c.lower() if "A" <= c <= "Z" else c for c in spaced), []).append(k)
     want = {("sql:" + hashlib.sha1(t.encode()).hexdigest()[:16], len(k), min(k)) for t, k in plain.items() if len(k) > 1}
-    assert {tuple(r) for r in text.content_hash_all(spark, str(tmp_path)).collect()} == want and {(n, k) for _, n, k in want} == {(2, 0), (2, 2), (2, 5), (3, 7)}
+    assert {tuple(r) for r in text.content_hash_dedupe(spark, str(tmp_path)).collect()} == want and {(n, k) for _, n, k in want} == {(2, 0), (2, 2), (2, 5), (3, 7)}
 
 
 @pytest.fixture(scope="module")
