@@ -16,11 +16,13 @@ links if the overlap, which is the sum of its fragments' overlaps, is at least t
 3. Sums. The parts are summed per pair. The number of documents linked with each class and a spanning forest of the links come out.
 
 How it grows. Sets are joined by bands of size, one task for a fragment of a band, so every set moves once, and once more
-if it can link with sets of the next band. A band has as many fragments as its n-grams need (Sizes.group_ngrams is what a task holds), but not
+if it can link with sets of the next band. A band has as many fragments as its n-grams need (Sizes.group_ngrams for each), but not
 more than leave Sizes.least_segment n-grams in its smallest set's segments, so that chance and shared passages make no
-candidates. Beyond that a fragment is divided by the n-grams of the segments' prefixes: each segment goes to the parts
-that hold one of them, which is every part that it could find a partner in; at most 0.4 m + 1 times. No partner or
-candidate is left out.
+candidates. Beyond that fragments grow with the table, but neither what moves nor a task's memory does with them: a task
+writes its n-grams to a file of its own disk and maps it, and takes the prefixes in parts by n-gram, from files as well.
+Only a few numbers a segment stay in memory. No partner or candidate is left out.
+
+In this step an n-gram is the upper half of its hash, which a pair that links shares as well; chance can only add candidates.
 
 Rows that move are packed: one row holds what a slice of texts has for one fragment. Of equal sets a task sends one.
 Texts move only if their class is in a cluster, told by a bitmap of bounded size. Components are found by
@@ -34,15 +36,17 @@ names. N-grams are told apart by 64-bit hashes, and so are sets.
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
-from typing import NamedTuple
+from typing import BinaryIO, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Hasher, chunks, discard, materialize, mix, quoted, rows_of, text_bytes, tidy, word_spans
+from .common import LOWER, Hasher, chunks, discard, materialize, mix, quoted, rows_of, text_bytes, tidy, trim, word_spans
 
 WORDS, TOP, BOTTOM = 2, 60, 100  # shingles of two words, Jaccard 60/100
 #: Least sizes of the bands; a set links only with sets of its own band and the next ones on either side.
@@ -55,15 +59,16 @@ _U = np.uint64
 class Sizes(NamedTuple):
     """How the work is divided. The result is the same for all values."""
 
-    group_ngrams: int = 1 << 22  # that a task of the first step joins
+    group_ngrams: int = 1 << 22  # that a task of the first step joins, or more where least_segment allows no more fragments
     least_segment: int = 16  # n-grams that a fragment has of its band's smallest set
-    pairs: int = 1 << 20  # looked at together
+    pairs: int = 1 << 20  # or n-grams, looked at together
     fragments: int = 4  # of a cluster's sets, or more where they are long
     block_ngrams: int = 1 << 22  # of two blocks, in a fragment
     together: int = 2048  # classes of a block
     columns: int = 4096  # n-grams compared at a time
     large: int = 256  # classes beyond which a cluster has tasks of its own
     bin_ngrams: int = 1 << 21  # of small clusters in a task
+    leads: int = 1 << 20  # n-grams of prefixes that a task joins at a time
 
 
 def shingles(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +108,6 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind[t]) for c, t in zip(columns, types)], list(names))
 
 
-def _column(table: pa.Table, name: str, dtype) -> np.ndarray:
-    return np.concatenate([np.empty(0, dtype), *(text_bytes(x)[0].view(dtype) for x in table.column(name).chunks)])
-
-
 def _least(total):
     """The least overlap of two sets that link, of the sum of their sizes."""
     return -(-TOP * total // (TOP + BOTTOM))
@@ -145,25 +146,25 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- 1: candidates ------------------------------------------------------------------------
 
-_PART = "grp long, classes binary, sizes binary, counts binary, grams binary"
+_PART = "grp long, classes binary, counts binary, grams binary"
 
 
-def _packed(cls: np.ndarray, n: np.ndarray, row: np.ndarray, gram: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """N-grams of rows, as one row for each group there is."""
+def _packed(cls: np.ndarray, guest: np.ndarray, row: np.ndarray, gram: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """N-grams of rows, as one row for each group there is. Counts of guests are negative."""
     order = np.lexsort((row, group))
-    gram, row, group = gram[order], row[order], group[order]
+    gram, row, group = (gram[order] >> _U(32)).astype("<u4"), row[order], group[order]
     cut = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else [0]
     out = []
     for lo, hi in zip(cut[:-1], cut[1:]):
         who, count = np.unique(row[lo:hi], return_counts=True)
-        out.append((int(group[lo]), cls[who].tobytes(), n[who].astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), gram[lo:hi].tobytes()))
+        out.append((int(group[lo]), cls[who].tobytes(), np.where(guest[who], -count, count).astype("<i4").tobytes(), gram[lo:hi].tobytes()))
     if out:
         yield _batch(_PART, *zip(*out))
 
 
-def _segments(plan: list[tuple[int, int, int]]):
+def _segments(plan: list[tuple[int, int]]):
     """The segments of each set, in the groups of its band and of the next one if it can link there. plan: by
-    band the first group, fragments, and parts of a fragment."""
+    band the first group, and fragments."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -174,33 +175,11 @@ def _segments(plan: list[tuple[int, int, int]]):
             if len(seen) > 100_000:
                 seen = set()
             home = np.searchsorted(EDGES, n, "right") - 1
-            for band in np.unique(home[new]).tolist():
-                guests = home == band - 1
-                guests[guests] = BOTTOM * n[guests] >= TOP * EDGES[band]
-                yield from one_band(band, new & ((home == band) | guests), row, key, cls, n)
-            for band in np.setdiff1d(home[new] + 1, home[new]).tolist():  # only guests
-                yield from one_band(band, new & (home == band - 1) & (BOTTOM * n >= TOP * EDGES[band]), row, key, cls, n)
-
-    def one_band(band: int, which: np.ndarray, row: np.ndarray, key: np.ndarray, cls: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first, fragments, parts = plan[band]
-        mine = which[row]
-        r, g = row[mine], key[mine]
-        frag = (mix(g) % _U(fragments)).astype(np.int64)
-        if parts > 1:
-            place = mix(g ^ _U(0x9FB21C651E98DF25))  # any order does; this one is not that of the fragments
-            order = np.lexsort((place, frag, r))
-            r, g, frag, place = r[order], g[order], frag[order], place[order]
-            segment = np.cumsum(np.concatenate([[0], (r[1:] != r[:-1]) | (frag[1:] != frag[:-1])])) if len(r) else np.empty(0, np.int64)
-            m = np.bincount(segment)
-            start = np.cumsum(m) - m
-            lead = _places(segment) < _prefix(m)[segment]
-            code = np.unique(segment[lead] * parts + (place[lead] % _U(parts)).astype(np.int64))
-            segment, part = code // parts, code % parts
-            size = m[segment]
-            end = np.cumsum(size)
-            at = np.repeat(start[segment] - end + size, size) + np.arange(end[-1] if len(end) else 0)
-            r, g, frag = r[at], g[at], frag[at] * parts + np.repeat(part, size)
-        yield from _packed(cls, n, r, g, first + frag)
+            for band in np.union1d(home[new], home[new] + 1).tolist():
+                guest = (home == band - 1) & (BOTTOM * n >= TOP * EDGES[band])
+                first, fragments = plan[band]
+                mine = (new & ((home == band) | guest))[row]
+                yield from _packed(cls, guest, row[mine], key[mine], first + (mix(key[mine]) % _U(fragments)).astype(np.int64))
 
     return cut
 
@@ -225,10 +204,12 @@ class _Forest:
 
 
 class _Overlap:
-    """Overlaps of pairs of segments, given as the places of their n-grams in one list."""
+    """Overlaps of pairs of segments, given as the places of their n-grams in one list. N-grams are told apart by their
+    lower bits, which are enough for the longest segment to be mistaken seldom; an overlap is never less than it is."""
 
-    def __init__(self, gram: np.ndarray, start: np.ndarray, count: np.ndarray, names: int):
-        self.gram, self.start, self.count, self.mark = gram, start, count, np.zeros(names, np.int8)
+    def __init__(self, gram: np.ndarray, start: np.ndarray, count: np.ndarray):
+        bits = min(24, max(16, int(count.max(initial=0)).bit_length() + 8))
+        self.gram, self.start, self.count, self.mark, self.low = gram, start, count, np.zeros(1 << bits, np.int8), np.uint32((1 << bits) - 1)
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         result = np.zeros(len(a), np.int64)
@@ -236,18 +217,23 @@ class _Overlap:
         a, b = a[order], b[order]
         cut = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1], [True]])) if len(a) else [0]
         for lo, hi in zip(cut[:-1], cut[1:]):
-            mine = self.gram[self.start[a[lo]] : self.start[a[lo]] + self.count[a[lo]]]
+            mine = self.gram[self.start[a[lo]] : self.start[a[lo]] + self.count[a[lo]]] & self.low
             self.mark[mine] = 1
             for k in range(lo, hi, 4096):  # bounded, however many partners a segment has
                 other = b[k : min(k + 4096, hi)]
-                size = self.count[other]
-                end = np.cumsum(size)
-                where = np.repeat(self.start[other] - end + size, size) + np.arange(end[-1])
-                result[order[k : k + len(other)]] = np.add.reduceat(self.mark[self.gram[where]], end - size, dtype=np.int64)
+                where, size = _inside(self.start, self.count, other)
+                result[order[k : k + len(other)]] = np.add.reduceat(self.mark[self.gram[where] & self.low], np.cumsum(size) - size, dtype=np.int64)
             self.mark[mine] = 0
         return result
 
 
+def _inside(start: np.ndarray, count: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all n-grams of segments, one segment after the other, and how many each has."""
+    size = count[which]
+    end = np.cumsum(size)
+    return np.repeat(start[which] - end + size, size) + np.arange(end[-1] if len(end) else 0), size
+
+
 def _blocks(length: np.ndarray, pairs: int) -> Iterator[tuple[int, int]]:
     """Runs of items whose lengths sum to about pairs, or one item where that is longer."""
     total = np.cumsum(length)
@@ -261,59 +247,103 @@ def _blocks(length: np.ndarray, pairs: int) -> Iterator[tuple[int, int]]:
 _EDGES = "a long, b long"
 
 
-def _candidates(least_home: dict[int, int], pairs: int):
-    """A spanning forest of the pairs of classes whose segments in one group link. least_home: by group, the least size of its band."""
+#: An n-gram of a prefix, its segment, and its place there.
+_LEAD = np.dtype([("gram", "<u4"), ("who", "<u4"), ("place", "<u4")])
 
-    def candidates(table: pa.Table) -> pa.Table:
-        lowest = least_home[table["grp"][0].as_py()]
-        cls, size, count = (_column(table, c, t) for c, t in (("classes", np.int64), ("sizes", np.int32), ("counts", np.int32)))
-        gram = _column(table, "grams", _U)
-        del table
-        one = np.zeros(len(cls), bool)  # a class that several tasks have sent counts once
-        one[np.unique(cls, return_index=True)[1]] = True
-        gram, cls, size, count = gram[np.repeat(one, count)], cls[one], size[one], count[one].astype(np.int64)
+
+#: Files that a task has open.
+FILES = 256
+
+
+def _file() -> BinaryIO:
+    """A file on the task's own disk that is gone when it is closed."""
+    folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None)
+
+
+def _candidates(sizes: Sizes):
+    """A spanning forest of the pairs of classes whose segments in one group link."""
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = [_file()]
+        try:
+            cls, count = [], []
+            for b in batches:
+                cls.append(text_bytes(b.column("classes"))[0].view("<i8").copy())
+                count.append(text_bytes(b.column("counts"))[0].view("<i4").copy())
+                files[0].write(text_bytes(b.column("grams"))[0])
+                del b
+            files[0].flush()
+            yield forest_of(np.concatenate(cls), np.concatenate(count), np.memmap(files[0], "<u4", "r").view(np.ndarray), files)
+        finally:
+            for f in files:
+                f.close()
+            trim()
+
+    def forest_of(cls: np.ndarray, count: np.ndarray, gram: np.ndarray, files: list[BinaryIO]) -> pa.RecordBatch:
+        home = count > 0
+        count = np.abs(count).astype(np.int64)
         start = np.cumsum(count) - count
         # equal segments are one
-        sums = np.add.reduceat(mix(gram ^ _U(0xE7037ED1A0B428DB)), start) if len(start) else np.empty(0, _U)
-        _, first, same = np.unique(mix(sums + count.astype(_U)), return_index=True, return_inverse=True)
+        sums = np.empty(len(cls), _U)
+        for lo, hi in _blocks(count, sizes.pairs):
+            some = gram[start[lo] : start[hi - 1] + count[hi - 1]].astype(_U)
+            sums[lo:hi] = np.add.reduceat(mix(some ^ _U(0xE7037ED1A0B428DB)), start[lo:hi] - start[lo])
+        one = np.unique(cls, return_index=True)[1]  # a class that several tasks have sent counts once
+        cls, count, start, home = cls[one], count[one], start[one], home[one]
+        _, first, same = np.unique(mix(sums[one] + count.astype(_U)), return_index=True, return_inverse=True)
+        del sums, one
         forest = _Forest(len(cls))
         forest.join(np.arange(len(cls)), first[same])
-        largest = np.zeros(len(first), np.int64)
-        np.maximum.at(largest, same, size)
-        chosen = np.zeros(len(cls), bool)
-        chosen[first] = True
-        home = np.zeros(len(cls), bool)
-        home[first] = largest >= lowest
-        gram = gram[np.repeat(chosen, count)]
-        who = np.repeat(np.flatnonzero(chosen).astype(np.uint32), count[chosen])
-        # the order: rare n-grams first
-        order = np.argsort(gram)
-        gram, who = gram[order], who[order]
-        del order
-        new = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, bool)
-        del gram
-        often = np.diff(np.append(np.flatnonzero(new), len(new)))
-        by_often = np.argsort(often, kind="stable")
-        rank = np.empty(len(often), np.uint32)
-        rank[by_often] = np.arange(len(often), dtype=np.uint32)
-        code = who.astype("<u8")
-        code <<= _U(32)
-        code |= np.repeat(rank, often)
-        often = often[by_often]
-        del who, new, rank, by_often
-        code.sort()
-        gram, who = code.view("<u4")[::2], code.view("<u4")[1::2]
-        start = np.zeros(len(cls), np.int64)
-        start[chosen] = np.cumsum(count[chosen]) - count[chosen]
-        place = np.arange(len(who), dtype=np.int32) - np.repeat(start[chosen].astype(np.int32), count[chosen])
-        lead = place < np.repeat(_prefix(count[chosen]).astype(np.int32), count[chosen])
-        lead[lead] = often[gram[lead]] > 1
-        g, w, at = gram[lead], who[lead], place[lead]
-        g, w = g.astype(np.int64), w.astype(np.int64)
-        del lead, place
+        home[first] = np.bincount(same, home) > 0
+        chosen = first[np.argsort(start[first])]  # as they lie in the file
+        del first, same
+        # the order: rare n-grams first, by how often a share of all hashes occurs
+        shift = np.uint32(32 - min(23, max(8, int(count[chosen].sum()).bit_length() + 1)))
+        often = np.zeros(1 << int(32 - shift), np.uint32)
+        for lo, hi in _blocks(count[chosen], sizes.pairs):
+            some = np.sort(gram[_inside(start, count, chosen[lo:hi])[0]] >> shift)
+            edge = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+            often[some[edge]] += np.diff(np.append(edge, len(some))).astype(np.uint32)
+        level = np.concatenate([(8 * np.log2(np.maximum(x, 1), dtype=np.float32)).astype(np.uint8) for x in np.split(often, 64)])
+        del often
+        parts = int(-(-_prefix(count[chosen]).sum() // sizes.leads))
+        overlap = _Overlap(gram, start, count)
+        for begin in range(0, parts, FILES):
+            mine = [_file() for _ in range(min(FILES, parts - begin))]
+            files += mine
+            for lo, hi in _blocks(count[chosen], min(sizes.pairs, 1 << 24)):
+                at, size = _inside(start, count, chosen[lo:hi])
+                some = gram[at]
+                code = np.repeat(np.arange(hi - lo, dtype=_U) << _U(40), size)
+                code |= level[some >> shift].astype(_U) << _U(32)
+                code |= some
+                code.sort()
+                place = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+                lead = place < np.repeat(_prefix(size), size)
+                lead &= (code >> _U(32)) & _U(255) > 0  # else it is in one segment only
+                code, place = code[lead], place[lead]
+                rows = np.empty(len(code), _LEAD)
+                rows["gram"], rows["who"], rows["place"] = code & _U(0xFFFFFFFF), chosen[lo + (code >> _U(40)).astype(np.int64)], place
+                part = (rows["gram"].astype(np.int64) * parts >> 32) - begin
+                order = np.argsort(part, kind="stable")
+                rows, edge = rows[order], np.searchsorted(part[order], np.arange(len(mine) + 1))
+                for k in np.flatnonzero(np.diff(edge)).tolist():
+                    mine[k].write(rows[edge[k] : edge[k + 1]].tobytes())
+            for f in mine:
+                f.seek(0)
+                join(np.frombuffer(f.read(), _LEAD), count, home, forest, overlap)
+                f.close()
+        root = forest.label
+        moved = root != np.arange(len(cls))
+        return _batch(_EDGES, cls[moved], cls[root[moved]])
+
+    def join(rows: np.ndarray, count: np.ndarray, home: np.ndarray, forest: _Forest, overlap: _Overlap) -> None:
+        """Join the segments that link, of those that have an n-gram of some prefixes."""
+        g, w, at = (rows[c].astype(np.int64) for c in ("gram", "who", "place"))
         order = np.lexsort((count[w], g))  # lists, by n-gram; short segments first
         g, w, at = g[order], w[order], at[order]
-        overlap = _Overlap(gram, start, count, len(often))
+        del order
 
         def try_pairs(x: np.ndarray, y: np.ndarray) -> None:
             """Join the pairs of places of lists whose segments link."""
@@ -337,7 +367,7 @@ def _candidates(least_home: dict[int, int], pairs: int):
             return begin[mixed], length[mixed]
 
         begin, length = lists()
-        for lo, hi in _blocks(length, pairs):  # members with the first of their list
+        for lo, hi in _blocks(length, sizes.pairs):  # members with the first of their list
             n = length[lo:hi] - 1
             x = np.repeat(begin[lo:hi], n)
             try_pairs(x, x + 1 + _places(x))
@@ -347,13 +377,10 @@ def _candidates(least_home: dict[int, int], pairs: int):
         widest = int(count.max(initial=0)) + 1
         end = np.searchsorted(g * widest + count[w], g[place] * widest + np.minimum(BOTTOM * count[w[place]] // TOP, widest - 1), "right")
         behind = end - 1 - place
-        for lo, hi in _blocks(behind, pairs):
+        for lo, hi in _blocks(behind, sizes.pairs):
             n = behind[lo:hi]
             x = np.repeat(place[lo:hi], n)
             try_pairs(x, x + 1 + _places(x))
-        root = forest.label
-        moved = root != np.arange(len(cls))
-        return pa.Table.from_batches([_batch(_EDGES, cls[moved], cls[root[moved]])])
 
     return candidates
 
@@ -378,8 +405,8 @@ def components(edges: DataFrame) -> DataFrame:
     return now.selectExpr("a as node", "b as root").unionByName(now.selectExpr("b as node", "b as root")).distinct()
 
 
-def _plan(classes: DataFrame, sizes: Sizes) -> list[tuple[int, int, int]]:
-    """By band the first group, fragments, and parts of a fragment."""
+def _plan(classes: DataFrame, sizes: Sizes) -> list[tuple[int, int]]:
+    """By band the first group, and fragments."""
     steps = [f"int(n >= {e})" for e in EDGES[1:]]
     home = F.expr(" + ".join(steps))
     guest = F.expr(" + ".join(f"int({BOTTOM} * n >= {TOP * e})" for e in EDGES[1:]))
@@ -387,11 +414,9 @@ def _plan(classes: DataFrame, sizes: Sizes) -> list[tuple[int, int, int]]:
     total = {r.band: r.n for r in bands.groupBy("band").agg(F.sum("n").alias("n")).collect()}
     plan, first = [], 0
     for band, edge in enumerate(EDGES.tolist()):
-        wanted = -(-total.get(band, 0) // sizes.group_ngrams) or 1
-        fragments = min(wanted, max(1, edge // sizes.least_segment))
-        parts = -(-wanted // fragments)
-        plan.append((first, fragments, parts))
-        first += fragments * parts
+        fragments = max(1, min(-(-total.get(band, 0) // sizes.group_ngrams), edge // sizes.least_segment))
+        plan.append((first, fragments))
+        first += fragments
     return plan
 
 
@@ -555,8 +580,7 @@ def links(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[DataFrame, DataFrame
     one = members.filter("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), *(F.min(c).alias(a) for c, a in (("doc_id", "least"), ("n", "n"), ("th", "th"))))
     classes = materialize(one, "ngram-classes")
     plan = _plan(classes, sizes)
-    least_home = {first + k: int(edge) for (first, fragments, parts), edge in zip(plan, EDGES) for k in range(fragments * parts)}
-    forest = wanted.select("text").mapInArrow(_segments(plan), _PART).groupBy("grp").applyInArrow(tidy(_candidates(least_home, sizes.pairs)), _EDGES)
+    forest = wanted.select("text").mapInArrow(_segments(plan), _PART).groupBy("grp").applyInArrow(_candidates(sizes), _EDGES)
     home = components(forest).withColumnRenamed("node", "cls").withColumnRenamed("root", "cluster")
     home = home.join(classes.select("cls", "n", "copies", "th"), "cls")
     each = home.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("whole"))

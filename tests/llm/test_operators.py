@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -437,6 +438,23 @@ def test_ngram_jaccard_chains(spark, sizes):
     assert got == sorted(plain_similar(rows), key=key)
 
 
+def test_ngram_jaccard_moves_sets_once(spark):
+    """However many n-grams a band has, a set goes to its own band and the next one, once each."""
+    rng = random.Random(9)
+    table = pa.table({"text": [" ".join(words(rng, rng.randrange(70, 250), 10**6)) for _ in range(60)]})
+    cls, n = ngram_join._classes(*ngram_join.shingles(*ngram_join.text_bytes(table["text"])), 60)
+    plan = ngram_join._plan(spark.createDataFrame([(int(c), int(k)) for c, k in zip(cls, n)], "cls long, n long"), ngram_join.Sizes(group_ngrams=200))
+    moved = sum(len(g) for b in ngram_join._segments(plan)(iter(table.to_batches())) for g in b.column("grams").to_pylist())
+    guests = n[(n < 256) & (100 * n >= 60 * 256)].sum()
+    assert 0 < moved <= 8 * (n.sum() + guests)
+
+
+def test_ngram_jaccard_small_leads(docs, rows):
+    """Prefixes in so many parts that they take several rounds of files."""
+    got = sorted(((r.doc_id, r.n_shingles, r.n_similar, r.component_id) for r in ngram_join.similar(docs, ngram_join.Sizes(400, 16, 50, 3, 200, 3, 7, 2, 300, 20)).collect()), key=key)
+    assert got == sorted(plain_similar(rows), key=key)
+
+
 def test_one_of_each(docs, rows):
     kept = ngram_join.one_of_each(docs)
     roots = {r[3] for r in plain_similar(rows) if r[0] is not None}
