@@ -27,6 +27,8 @@ from .common import chunks, per_row, quoted, text_bytes
 from .ppm import Classes, Tally, grams
 
 ORDER, SAMPLE_BYTES = 3, 2_000_000
+#: Bytes of text looked at together; code lengths take about 100 bytes for each.
+SLICE_BYTES = 1 << 18
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 
@@ -48,7 +50,7 @@ def fit(docs: DataFrame, sample_bytes: int = SAMPLE_BYTES, order: int = ORDER) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tallies: dict[str, Tally] = {}
-        for b in chunks(batches):
+        for b in chunks(batches, limit=SLICE_BYTES):
             data, off = text_bytes(b.column("text"))
             langs = np.array(b.column("lang").to_pylist(), object)
             g = grams(data, off, order)
@@ -75,7 +77,7 @@ def identify(docs: DataFrame, model: Classes, keep: list[str] | None = None) ->
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classes = shipped.value
-        for b in chunks(batches):
+        for b in chunks(batches, limit=SLICE_BYTES):
             data, off = text_bytes(b.column("text"))
             size = np.diff(off)
             known = per_row(_LETTER[data], off) > 0

@@ -31,6 +31,8 @@ from .common import Hasher, chunks, kept, materialize, text_bytes, tidy, word_sp
 from .tokens import tokenizer
 
 OPEN_WINDOWS, FAN_IN, LEAST_ROOM = 32, 64, 16
+#: Bytes of text looked at together.
+SLICE_BYTES = 1 << 18
 #: Words and pieces that a worker remembers.
 WORDS, PIECES = 400_000, 100_000
 #: The pre-tokenizer's pieces of lower-case words whose characters are all below U+0250, where normal
@@ -247,7 +249,7 @@ def _rows(windows: list[list], part: int, first: int, level: int, closed: bool)
 def _first_level(size: int, path: str, end_id: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode, packer, n = TaskContext.get().partitionId(), None, Packer(size), 0
-        for b in chunks(batches, keep=path):
+        for b in chunks(batches, limit=SLICE_BYTES, keep=path):
             encode = encode or kept(path, lambda: WordIds(path, end_id))
             docs = b.column("doc_id").to_pylist()
             ids, bounds = encode(*text_bytes(b.column("text")))

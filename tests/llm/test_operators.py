@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -334,6 +335,22 @@ def plain_bits(text, trie, order):
     return total
 
 
+def test_language_id_memory(docs, monkeypatch):
+    """Both functions of the workers take a few MB, however much text a batch has."""
+    run, plain = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *schema: run.append(f) or plain(self, f, *schema))
+    langid.language_id(docs)
+    rng = random.Random(4)
+    text = [" ".join(words(rng, 1000)) for _ in range(600)]
+    batch = pa.table({"doc_id": range(600), "text": text, "lang": ["en", "fr"] * 300}).combine_chunks().to_batches()[0]
+    for f, columns in zip(run, (["doc_id", "text", "lang"], ["doc_id", "text"]), strict=True):
+        tracemalloc.start()
+        assert sum(b.num_rows for b in f(iter([batch.select(columns)])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 25e6, (f.__name__, most)
+
+
 def test_language_id_code_lengths(docs, rows):
     crc = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5
     names = sorted({r[2] for r in rows if r[2] and r[1] and crc(r[0])})
