@@ -12,7 +12,8 @@ links if the overlap, which is the sum of its fragments' overlaps, is at least t
    one of their list, so large groups of near copies become one component without a look at their pairs. What
    leaves a fragment is a spanning forest of its candidates, never more rows than it has classes. The components of all
    forests are clusters; every pair that links lies within one.
-2. Counts. For each two blocks of a cluster (most have one block) and each fragment, the part of every pair's overlap is counted on its own.
+2. Counts. Small clusters whose texts are no longer than their n-grams move as texts, and one task does steps 2 and 3. For the others,
+   for each two blocks of a cluster (most have one block) and each fragment, the part of every pair's overlap is counted on its own.
 3. Sums. The parts are summed per pair. The number of documents linked with each class and a spanning forest of the links come out.
 
 How it grows. Sets are joined by bands of size, one task for a fragment of a band, so every set moves once, and once more
@@ -25,7 +26,7 @@ Only a few numbers a segment stay in memory. No partner or candidate is left out
 In this step an n-gram is the upper half of its hash, which a pair that links shares as well; chance can only add candidates.
 
 Rows that move are packed: one row holds what a slice of texts has for one fragment. Of equal sets a task sends one.
-Texts move only if their class is in a cluster, told by a bitmap of bounded size. Components are found by
+Texts move only if their class is in a cluster, told by a bitmap of bounded size, and each once, however many copies it has. Components are found by
 alternating large and small stars.
 
 Defined results: null or wordless text has an empty set, links with nothing and is its own component. A text
@@ -69,6 +70,7 @@ class Sizes(NamedTuple):
     large: int = 256  # classes beyond which a cluster has tasks of its own
     bin_ngrams: int = 1 << 21  # of small clusters in a task
     leads: int = 1 << 20  # n-grams of prefixes that a task joins at a time
+    text: int = 12  # bytes for each n-gram up to which small clusters move as texts (an n-gram has 8, and texts are compressed)
 
 
 def shingles(data: np.ndarray, off: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -135,13 +137,14 @@ def _classes(row: np.ndarray, key: np.ndarray, rows: int) -> tuple[np.ndarray, n
     return mix(total + n.astype(_U)).view(np.int64), n
 
 
-_DESCRIBED = "doc_id long, cls long, n long, th long"
+_DESCRIBED = "doc_id long, cls long, n long, th long, bytes long"
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches):
-        cls, n = _classes(*shingles(*text_bytes(b.column("text"))), b.num_rows)
-        yield _batch(_DESCRIBED, b.column("doc_id"), pa.array(cls, mask=n == 0), n, b.column("th"))
+        data, off = text_bytes(b.column("text"))
+        cls, n = _classes(*shingles(data, off), b.num_rows)
+        yield _batch(_DESCRIBED, b.column("doc_id"), pa.array(cls, mask=n == 0), n, b.column("th"), np.diff(off))
 
 
 # --- 1: candidates ------------------------------------------------------------------------
@@ -432,6 +435,11 @@ def _bitmap(needed: DataFrame) -> np.ndarray:
     return out
 
 
+def _bits(bitmap: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """The bit of each hash in a bitmap."""
+    return (bitmap[th % BITMAP] >> ((th >> 40) % 64)) & 1
+
+
 def _needed(bitmap):
     """The texts whose bit is set, without those that the task has had before, as far as it remembers."""
 
@@ -439,7 +447,7 @@ def _needed(bitmap):
         seen: set[int] = set()
         for b in chunks(batches):
             th = b.column("th").to_numpy()
-            bit = (bitmap.value[th % BITMAP] >> ((th >> 40) % 64)) & 1
+            bit = _bits(bitmap.value, th)
             new = [bool(y) and x not in seen and not seen.add(x) for x, y in zip(th.tolist(), bit.tolist())]
             if len(seen) > 100_000:
                 seen = set()
@@ -531,6 +539,16 @@ def _parts(most: int):
     return parts
 
 
+def _at_once(bins: int, sizes: Sizes):
+    """Links of the small clusters of a bin, from their texts."""
+    cut, parts = _cut(bins, sizes._replace(together=sizes.large)), _parts(sizes.columns)
+
+    def at_once(table: pa.Table) -> pa.Table:
+        return _sums(parts(pa.Table.from_batches(list(cut(iter(table.to_batches()))))))
+
+    return at_once
+
+
 _LINKED = "a long, b long, others long"
 
 
@@ -577,21 +595,31 @@ def links(docs: DataFrame, sizes: Sizes = Sizes()) -> tuple[DataFrame, DataFrame
     spark = docs.sparkSession
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     members = materialize(wanted.mapInArrow(_describe, _DESCRIBED), "ngram-documents")
-    one = members.filter("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), *(F.min(c).alias(a) for c, a in (("doc_id", "least"), ("n", "n"), ("th", "th"))))
+    one = members.filter("cls is not null").groupBy("cls").agg(F.count(F.lit(1)).alias("copies"), *(F.min(c).alias(a) for c, a in (("doc_id", "least"), ("n", "n"), ("th", "th"))), F.max("bytes").alias("bytes"))
     classes = materialize(one, "ngram-classes")
     plan = _plan(classes, sizes)
     forest = wanted.select("text").mapInArrow(_segments(plan), _PART).groupBy("grp").applyInArrow(_candidates(sizes), _EDGES)
     home = components(forest).withColumnRenamed("node", "cls").withColumnRenamed("root", "cluster")
-    home = home.join(classes.select("cls", "n", "copies", "th"), "cls")
-    each = home.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("whole"))
+    home = home.join(classes.select("cls", "n", "copies", "th", "bytes"), "cls")
+    each = home.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("whole"), F.sum("bytes").alias("bytes"))
     fragments = F.greatest(F.lit(sizes.fragments), F.ceil(F.col("whole") * F.least(F.lit(1.0), 2 * sizes.together / F.col("m")) / sizes.block_ngrams).cast("int"))
-    home = materialize(home.join(each.select("cluster", "m", fragments.alias("fragments")), "cluster"), "ngram-clusters")
-    bins = int(-(-(home.filter(f"m <= {sizes.large}").agg(F.sum("n")).first()[0] or 0) // sizes.bin_ngrams)) or 1
-    bitmap = spark.sparkContext.broadcast(_bitmap(home))
-    sets = wanted.select("text", "th").mapInArrow(_needed(bitmap), "text string, th long").join(home, "th")
-    counted = sets.select("text", "cluster", "m", "cls", "n", "copies", "fragments").mapInArrow(_cut(bins, sizes), _CUT).groupBy("bin", "i", "j", "frag").applyInArrow(tidy(_parts(sizes.columns)), _COUNTED)
-    linked = materialize(counted.groupBy("bin", "i", "j").applyInArrow(tidy(_sums), _LINKED), "ngram-links")
-    bitmap.destroy()
+    small = F.expr(f"m <= {sizes.large} and whole <= {sizes.bin_ngrams} and bytes <= {sizes.text} * whole")
+    home = materialize(home.drop("bytes").join(each.select("cluster", "m", F.when(small, 0).otherwise(fragments).alias("fragments")), "cluster"), "ngram-clusters")
+    linked = []
+    for some in (home.filter("fragments = 0"), home.filter("fragments > 0")):
+        rows, total = some.agg(F.count(F.lit(1)), F.sum(F.when(F.col("m") <= sizes.large, F.col("n")))).first()
+        bins = int(-(-(total or 0) // sizes.bin_ngrams)) or 1
+        bitmap = spark.sparkContext.broadcast(_bitmap(some))
+        sets = wanted.select("text", "th").mapInArrow(_needed(bitmap), "text string, th long").dropDuplicates(["th"]).join(some, "th")
+        if linked:
+            sets = sets.select("text", "cluster", "m", "cls", "n", "copies", "fragments").mapInArrow(_cut(bins, sizes), _CUT)
+            counted = sets.groupBy("bin", "i", "j", "frag").applyInArrow(tidy(_parts(sizes.columns)), _COUNTED).groupBy("bin", "i", "j").applyInArrow(tidy(_sums), _LINKED)
+        else:
+            sets = sets.select("text", "cluster", "m", "cls", "n", "copies", F.lit(1).alias("fragments"))
+            counted = sets.groupBy(F.pmod("cluster", F.lit(bins)).alias("bin")).applyInArrow(tidy(_at_once(bins, sizes)), _LINKED)
+        linked.append(materialize(counted if rows else spark.createDataFrame([], _LINKED), "ngram-links"))
+        bitmap.destroy()
+    linked = linked[0].unionByName(linked[1])
     others = linked.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("others").alias("others"))
     return members, classes, others, linked.filter("b is not null").select("a", "b")
 
@@ -612,8 +640,12 @@ def similar(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are their component's smallest id. Rows without an id, and rows that share
-    one, stay or go together: with an id they stay if it is the smallest, without one they stay. Columns may have any names."""
-    gone = similar(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    one, stay or go together: with an id they stay if it is the smallest, without one they stay. Columns may have any names.
+    Only rows whose id may be one of those that go, told by a bitmap, move; the others stay where they are read."""
+    gone = materialize(similar(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "ngram-gone")
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(gone.select(F.xxhash64("_gone").alias("th"))))
+    may_go = F.arrow_udf(lambda th: pa.array(_bits(bitmap.value, th.to_numpy()) == 1), "boolean")
     whole = docs.select(F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("_row"))
-    kept = whole.join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti")
+    whole = whole.withColumn("_may_go", may_go(F.xxhash64(F.col("_row.doc_id").cast("long"))))
+    kept = whole.filter("_may_go").join(gone, F.col("_row.doc_id") == F.col("_gone"), "left_anti").unionByName(whole.filter("not _may_go"))
     return kept.select(*(F.col(f"_row.{quoted(c)}") for c in docs.columns))

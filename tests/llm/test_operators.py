@@ -481,6 +481,41 @@ def test_one_of_each(docs, rows):
 # --- empty tables ---------------------------------------------------------------------------
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for others."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.fixture
+def near_copies(spark):
+    """150 texts with a near copy each and 150 without, and how many words they have; none is small enough to be broadcast."""
+    rng = random.Random(31)
+    texts = [[f"{rng.getrandbits(20):x}" for _ in range(2000)] for _ in range(300)]
+    texts += [["edited", *w[1:]] for w in texts[:150]]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string").repartition(4, "doc_id").localCheckpoint(), 2000 * len(texts)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_ngram_jaccard_moves_texts_of_small_clusters(spark, near_copies):
+    docs, n = near_copies
+    before = shuffled(spark)
+    assert Counter(r.n_similar for r in ngram_join.similar(docs).collect()) == {0: 150, 1: 300}
+    assert shuffled(spark) - before < 12 * n
+
+
+def test_one_of_each_moves_no_text_that_stays(spark, near_copies):
+    docs, n = near_copies
+    kept = ngram_join.one_of_each(docs)
+    before = shuffled(spark)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(300))
+    assert shuffled(spark) - before < 3 * n
+
+
 def test_empty(empty, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     path = public_tokenizers.path("byte_bpe_50k.json")
