@@ -49,6 +49,10 @@ class Rounds:
         self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/rounds-{uuid.uuid4().hex}", []
         _bases.append((spark, self.base))
 
+    def there(self) -> bool:
+        """Whether what it wrote hasn't been released."""
+        return any(base == self.base for _, base in _bases)
+
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{len(self.paths)}"
         df.write.parquet(path)
@@ -62,3 +66,11 @@ class Rounds:
         path = f"{self.base}/held-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def split(self, df: DataFrame, by: str) -> tuple[DataFrame, set[int]]:
+        """A table that stays, in one folder for each value of a column of whole numbers, so that filters on it prune files; and those values."""
+        path = f"{self.base}/held-{uuid.uuid4().hex}"
+        df.write.partitionBy(by).parquet(path)
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        names = [f.getPath().getName() for f in at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)]
+        return self.spark.read.schema(df.schema).parquet(path), {int(n.removeprefix(f"{by}=")) for n in names if n.startswith(f"{by}=")}

@@ -6,6 +6,7 @@ round long and survives lost executors. What is tested on the driver is one coun
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,6 +16,27 @@ from ..model import Graph
 from .shared import Rounds
 
 DECAY, LEAST = 0.75, 0.01
+#: An id is of one of so many kinds, by what it has before its first colon, or of a last one without a colon. Ids of different kinds differ,
+#: so a round reads only the steps that leave the kinds of its frontier, and compares what they reach only with what has been seen of the same kinds.
+KINDS = 64
+#: From so many roots at most, a node holds what reaches it as bits.
+FEW = 63
+
+
+def _kind(col: str) -> Column:
+    return F.when(F.instr(col, ":") > 0, F.pmod(F.hash(F.substring_index(col, ":", 1)), F.lit(KINDS))).otherwise(F.lit(KINDS))
+
+
+def _by_kinds(rounds: Rounds, step: DataFrame) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """Steps (at, to, ...) with a number for their kinds at both ends, held by it, and the kinds by number."""
+    held, numbers = rounds.split(step.withColumn("kinds", _kind("at") * (KINDS + 1) + _kind("to")), "kinds")
+    return held, {n: divmod(n, KINDS + 1) for n in numbers}
+
+
+def _seen(levels: list[tuple[DataFrame, set[int]]], kinds: set[int], *columns: str) -> DataFrame | None:
+    """Of what has been reached, the rows of some kinds."""
+    parts = [df.select(*columns).filter(_kind("id").isin(*(k & kinds))) for df, k in levels if k & kinds]
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def _weights(weights: dict[str, float], default: float) -> Column:
@@ -41,37 +63,54 @@ def blast_radius(graph: Graph, targets: list[str], direction: str = "up", depth:
     """id, weight, hops, parent and via (type) of every node that a change of the targets reaches.
 
     Best first: a step multiplies by its edge's weight and the decay, weights under the least are dropped, each
-    node keeps its strongest path, and a node whose strongest path has depth hops isn't expanded. Every
-    round works all labels out anew from those of the round before; a step loses a quarter at least, so
-    17 rounds are enough whatever the graph.
+    node keeps its strongest path, and a node whose strongest path has depth hops isn't expanded. A step loses
+    a quarter at least, so in a round all nodes are settled that are stronger than what the strongest open one can
+    give; a node is expanded once, when it is settled, and 17 rounds are enough whatever the graph.
     """
     spark = graph.nodes.sparkSession
+    loss = DECAY * max(1.0, default, *(weights or {}).values())
+    if loss >= 1:
+        raise ValueError("a weight by which a step loses nothing")
     rounds = Rounds(spark)
-    edge = rounds.hold(steps(graph, direction, weights or {}, excluded, included, default))
-    schema = "id string, weight double, hops int, parent string, via string"
-    start = spark.createDataFrame([(t, 1.0, 0, None, None) for t in targets], schema)
-    label, state = rounds.keep(start), None
-    w = Window.partitionBy("to")
-    for _ in range(18):
-        cand = (
-            label.filter(F.col("hops") < depth).withColumnRenamed("weight", "pw").join(edge, F.col("id") == F.col("at"))
-            .withColumn("x", F.col("pw") * F.col("weight") * DECAY)
-            .filter((F.col("x") >= LEAST) & ~F.col("to").isin(*targets))
-        )
-        near = cand.withColumn("top", F.max("x").over(w)).filter(F.col("x") >= F.col("top") - 1e-9)
-        best = near.groupBy("to").agg(F.min_by(F.struct("x", "hops", "id", "type"), F.struct(-F.col("pw"), F.col("hops"), F.col("id"), F.col("way"), F.col("ordinal"))).alias("b"))
-        label = rounds.keep(start.unionByName(best.select(F.col("to").alias("id"), F.col("b.x").alias("weight"), (F.col("b.hops") + 1).cast("int").alias("hops"), F.col("b.id").alias("parent"), F.col("b.type").alias("via"))))
-        new = tuple(label.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "weight", "hops", "parent", "via").cast("decimal(38,0)"))).first())
-        if new == state:
+    edge, kinds_of = _by_kinds(rounds, steps(graph, direction, weights or {}, excluded, included, default))
+    front = spark.createDataFrame([(t, 1.0, 0, None, None) for t in dict.fromkeys(targets)], "id string, weight double, hops int, parent string, via string")
+    kinds = {r.k for r in front.select(_kind("id").alias("k")).distinct().collect()}
+    levels, pool = [(front, kinds)], None
+    # the open labels: for each node its strongest, and others that are as strong within 1e-9, one for each weight (minus is the weight below
+    # zero, by which they are sorted); of these the one from the strongest node, with fewest hops, is the node's own
+    node, columns = Window.partitionBy("id"), ["id", "minus", "key"]
+    while True:
+        used = {n: to for n, (at, to) in kinds_of.items() if at in kinds}
+        if used:
+            cand = (
+                front.filter(F.col("hops") < depth).select(F.col("id").alias("from"), F.col("weight").alias("pw"), "hops").join(edge.filter(F.col("kinds").isin(*used)), F.col("from") == F.col("at"))
+                .withColumn("x", F.col("pw") * F.col("weight") * DECAY).filter((F.col("x") >= LEAST) & ~F.col("to").isin(*targets))
+                .select(F.col("to").alias("id"), (-F.col("x")).alias("minus"), F.struct((-F.col("pw")).alias("minus"), "hops", F.col("from").alias("id"), "way", "ordinal", "type").alias("key"))
+            )
+            every = cand if pool is None else cand.unionByName(pool.select(*columns))
+            if (done := _seen(levels, set(used.values()), "id")) is not None:
+                every = every.join(done, "id", "left_anti")
+            near = every.withColumn("top", -F.first("minus").over(node.orderBy("minus"))).filter(-F.col("minus") >= F.col("top") - 1e-9)
+            near = near.groupBy("id", "minus").agg(F.min("key").alias("key"), F.first("top").alias("top"))
+            pool = rounds.hold(near.withColumn("own", F.col("key") == F.min("key").over(node)))
+        if pool is None:
             break
-        state = new
-    return label
+        tops = {r.k: r.top for r in pool.groupBy(_kind("id").alias("k")).agg(F.max("top").alias("top")).collect()}
+        if not tops:
+            break
+        floor = max(tops.values()) * loss + 2e-9
+        kinds = {k for k, top in tops.items() if top > floor}
+        front = pool.filter((F.col("top") > floor) & F.col("own")).select("id", (-F.col("minus")).alias("weight"), (F.col("key.hops") + 1).cast("int").alias("hops"), F.col("key.id").alias("parent"), F.col("key.type").alias("via"))
+        levels.append((front, kinds))
+        pool = pool.filter(F.col("top") <= floor)
+    return reduce(DataFrame.unionByName, [df for df, _ in levels])
 
 
-def impact_rows(graph: Graph, reached: DataFrame) -> DataFrame:
-    """Reached nodes other than targets with label and name, strongest first."""
+def impact_rows(graph: Graph, reached: DataFrame, ranked: bool = True) -> DataFrame:
+    """Reached nodes other than targets with label and name, strongest first if they are to be ranked."""
     out = reached.filter("hops > 0").join(graph.nodes.select("id", "label", "name"), "id")
-    return out.select("id", "label", "name", "hops", F.round("weight", 4).alias("weight"), "parent", "via").orderBy(F.desc("weight"), "hops", "label", "name")
+    out = out.select("id", "label", "name", "hops", F.round("weight", 4).alias("weight"), "parent", "via")
+    return out.orderBy(F.desc("weight"), "hops", "label", "name") if ranked else out
 
 
 def risk_summary(graph: Graph, reached: DataFrame, multipliers: dict[str, float], entry: Column) -> DataFrame:
@@ -89,16 +128,41 @@ def risk_summary(graph: Graph, reached: DataFrame, multipliers: dict[str, float]
 def min_hops(edges: DataFrame, roots: DataFrame, depth: int = 8, reverse: bool = False) -> DataFrame:
     """root, id and least hops, over edges (src, dst) from many roots (id) at once; a root itself has 0."""
     rounds = Rounds(edges.sparkSession)
-    step = edges.select(F.col("dst").alias("at"), F.col("src").alias("to")) if reverse else edges.select(F.col("src").alias("at"), F.col("dst").alias("to"))
-    step = rounds.hold(step.filter("at <> to").distinct())
-    seen = frontier = rounds.hold(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("hops")).distinct())
+    at, to = ("dst", "src") if reverse else ("src", "dst")
+    step, kinds_of = _by_kinds(rounds, edges.select(F.col(at).alias("at"), F.col(to).alias("to")).filter("at <> to"))
+    roots = rounds.hold(roots.select("id").distinct())
+    names = [r.id for r in roots.limit(FEW + 1).collect()]
+    few = len(names) <= FEW
+    if few:
+        frontier = rounds.hold(edges.sparkSession.createDataFrame([(n, 1 << k, 0) for k, n in enumerate(names)], "id string, bits long, hops int"))
+    else:
+        frontier = rounds.hold(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("hops")))
+    kinds = {r.k for r in roots.select(_kind("id").alias("k")).distinct().collect()}
+    levels = [(frontier, kinds)]
     for hop in range(1, depth + 1):
-        new = frontier.join(step, F.col("id") == F.col("at")).select("root", F.col("to").alias("id")).distinct()
-        frontier = rounds.hold(new.join(seen, ["root", "id"], "left_anti").withColumn("hops", F.lit(hop)))
+        used = {n: to for n, (at, to) in kinds_of.items() if at in kinds}
+        if not used:
+            break
+        leaving, kinds = {at for at, _ in (kinds_of[n] for n in used)}, set(used.values())
+        met = frontier.filter(_kind("id").isin(*leaving)).withColumnRenamed("id", "from").join(step.filter(F.col("kinds").isin(*used)), F.col("from") == F.col("at"))
+        if few:
+            new, seen = met.groupBy(F.col("to").alias("id")).agg(F.bit_or("bits").alias("bits")), _seen(levels, kinds, "id", "bits")
+            if seen is not None:
+                new = new.join(seen.groupBy("id").agg(F.bit_or("bits").alias("had")), "id", "left").select("id", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))).alias("bits")).filter("bits <> 0")
+        else:
+            new, seen = met.select("root", F.col("to").alias("id")).distinct(), _seen(levels, kinds, "root", "id")
+            if seen is not None:
+                new = new.join(seen, ["root", "id"], "left_anti")
+        frontier = rounds.hold(new.withColumn("hops", F.lit(hop)))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        levels.append((frontier, kinds))
+    out = reduce(DataFrame.unionByName, [df for df, _ in levels])
+    if not few:
+        return out
+    every = F.array(*[F.lit(n).cast("string") for n in names]) if names else F.array().cast("array<string>")
+    reaching = F.filter(every, lambda _, k: F.call_function("shiftright", F.col("bits"), k).bitwiseAND(F.lit(1).cast("long")) == 1)
+    return out.select(F.explode(reaching).alias("root"), "id", "hops")
 
 
 def descend(graph: Graph, roots: DataFrame, types: list[str], depth: int = 8) -> DataFrame:

@@ -56,15 +56,15 @@ def graph_type_counts(spark, sf_dir):
 
 @query(f"{_REACH} SELECT id, split_part(id, ':', 1) AS label, CAST(hops AS INTEGER) AS hops, round(weight, 4) AS weight FROM b WHERE hops > 0")
 def blast_radius_region(spark, sf_dir):
-    g = supply_graph(spark, sf_dir)
-    return traverse.impact_rows(g, traverse.blast_radius(g, ["region:0"], "up", 8, WEIGHTS)).select("id", "label", "hops", "weight")
+    g = supply_graph(spark, sf_dir, parallel=True)
+    return traverse.impact_rows(g, traverse.blast_radius(g, ["region:0"], "up", 8, WEIGHTS), ranked=False).select("id", "label", "hops", "weight")
 
 
 @query(f"""{_REACH}, s AS (SELECT count(*) AS affected, count(*) FILTER (WHERE id LIKE 'order:%') AS entry_points,
  sum(weight * CASE WHEN id LIKE 'nation:%' THEN 2.0 ELSE 1.0 END) + 6 * count(*) FILTER (WHERE id LIKE 'order:%') AS x FROM b WHERE hops > 0)
 SELECT affected, entry_points, round(x, 2) AS score, CASE WHEN x > 60 THEN 'CRITICAL' WHEN x > 30 THEN 'HIGH' WHEN x > 12 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM s""")
 def blast_radius_summary(spark, sf_dir):
-    g = supply_graph(spark, sf_dir)
+    g = supply_graph(spark, sf_dir, parallel=True)
     return traverse.risk_summary(g, traverse.blast_radius(g, ["region:0"], "up", 8, WEIGHTS), {"nation": 2.0}, F.col("label") == "order")
 
 
@@ -72,7 +72,7 @@ def blast_radius_summary(spark, sf_dir):
  UNION SELECT r.root, e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.id WHERE e.type IN ('PLACED_BY', 'LOCATED_IN', 'PART_OF', 'SUPPLIED_BY'))
 SELECT root, id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY root, id""")
 def descend_min_hops(spark, sf_dir):
-    g = supply_graph(spark, sf_dir)
+    g = supply_graph(spark, sf_dir, parallel=True)
     return traverse.descend(g, g.by_label("order"), ["PLACED_BY", "LOCATED_IN", "PART_OF", "SUPPLIED_BY"])
 
 
@@ -80,13 +80,13 @@ def descend_min_hops(spark, sf_dir):
  UNION SELECT r.root, e.src, r.hops + 1 FROM r JOIN e ON e.dst = r.id)
 SELECT root, id, CAST(min(hops) AS INTEGER) AS hops FROM r GROUP BY root, id""")
 def ascend_min_hops(spark, sf_dir):
-    g = supply_graph(spark, sf_dir)
+    g = supply_graph(spark, sf_dir, parallel=True)
     return traverse.ascend(g, g.by_label("region"), list(WEIGHTS))
 
 
 @query("""SELECT 'order:'||o_orderkey AS id, 'region:'||n_regionkey AS owner FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def owning_ancestor(spark, sf_dir):
-    g = supply_graph(spark, sf_dir)
+    g = supply_graph(spark, sf_dir, parallel=True)
     return traverse.owner(g, g.by_label("order"), ["PLACED_BY", "LOCATED_IN", "PART_OF"], "region", reverse=False)
 
 
@@ -206,18 +206,18 @@ _ISSUES = f"""i AS (SELECT 'S-DEBT-001' AS rule, 'LOW' AS severity, 'debt' AS ca
 
 @query(f"WITH {_NODES}, {_EDGES}, {_ISSUES} SELECT rule, severity, category, target FROM i")
 def rule_findings(spark, sf_dir):
-    return rules.issues(supply_graph(spark, sf_dir), RULES).select("rule", "severity", "category", "target")
+    return rules.issues(supply_graph(spark, sf_dir, parallel=True), RULES).select("rule", "severity", "category", "target")
 
 
 @query(f"WITH {_NODES}, {_EDGES}, {_ISSUES} SELECT severity, category, rule, count(*) AS n FROM i WHERE severity IN ('CRITICAL', 'HIGH', 'MEDIUM') GROUP BY ALL")
 def severity_summary(spark, sf_dir):
-    return inventory.issue_summary(rules.filtered(rules.issues(supply_graph(spark, sf_dir), RULES), "MEDIUM"), ["severity", "category", "rule"])
+    return inventory.issue_summary(rules.filtered(rules.issues(supply_graph(spark, sf_dir, parallel=True), RULES), "MEDIUM"), ["severity", "category", "rule"])
 
 
 @query(f"""WITH {_NODES}, {_EDGES}, {_ISSUES} SELECT type, count(*) AS n FROM (SELECT 'HAS_ISSUE' AS type FROM i UNION ALL SELECT 'AFFECTS' FROM i UNION ALL SELECT 'HAS_RECOMMENDATION' FROM i
  UNION ALL SELECT 'Issue' FROM i UNION ALL SELECT 'Recommendation' FROM (SELECT DISTINCT rule FROM i)) GROUP BY type""")
 def issue_ledger(spark, sf_dir):
-    g = rules.ledger(rules.issues(supply_graph(spark, sf_dir), RULES), "supply/")
+    g = rules.ledger(rules.issues(supply_graph(spark, sf_dir, parallel=True), RULES), "supply/")
     return inventory.type_counts(g).unionByName(inventory.label_counts(g).withColumnRenamed("label", "type"))
 
 
@@ -252,7 +252,7 @@ def vocabulary(spark, sf_dir):
  SELECT 'part:'||p_partkey AS x FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)) HAVING count(*) > 0)
 UNION ALL SELECT 'WARNING', 'REQUIRED_TYPE', 1, 'OWNS'""")
 def validation_report(spark, sf_dir):
-    g = supply_graph(spark, sf_dir)
+    g = supply_graph(spark, sf_dir, parallel=True)
     checks = {"ids": validate.bad_ids, "ends": validate.dangling, "orphans": lambda g: validate.orphans(g, {"customer", "supplier", "order", "nation", "region"}), "types": lambda g: validate.required(g, {"CONTAINS", "OWNS"})}
     return validate.report(g, checks)[0].select("severity", "rule", "n", F.col("details")[0].alias("detail"))
 
