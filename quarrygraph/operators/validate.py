@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Graph
+from .shared import Rounds
 
 Check = Callable[[Graph], DataFrame]
 _RANK = {"ERROR": 0, "WARNING": 1, "INFO": 2}
@@ -18,17 +22,31 @@ def finding(rows: DataFrame, severity: str, rule: str, detail) -> DataFrame:
     return rows.select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
 
 
+def _odd(graph: Graph) -> DataFrame:
+    """id, n (nodes) and tied (to an edge) of ids that not just one node has, and of those without an edge. One count over nodes and ends, made once
+    for all checks of a graph; in a sound graph few are left, so that what is looked up by them moves no table."""
+    held = graph.__dict__.get("_odd")
+    if held is None or not held[0].there():
+        rounds = Rounds(graph.nodes.sparkSession)
+        ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).select("id", F.lit(0).alias("n"), F.lit(True).alias("tied"))
+        each = graph.nodes.select("id", F.lit(1).alias("n"), F.lit(False).alias("tied")).unionByName(ends)
+        held = graph.__dict__["_odd"] = rounds, rounds.hold(each.groupBy("id").agg(F.sum("n").alias("n"), F.bool_or("tied").alias("tied")).filter("n <> 1 or not tied"))
+    return held[1]
+
+
 def bad_ids(graph: Graph, grammar: str = r"^\S.*$") -> DataFrame:
     empty = graph.nodes.filter(F.col("id").isNull() | (F.col("id") == "") | ~F.col("id").rlike(grammar))
-    twice = graph.nodes.groupBy("id").count().filter("count > 1")
+    twice = _odd(graph).filter("n > 1")
     return finding(empty, "ERROR", "NODE_ID", F.coalesce("id", F.lit(""))).unionByName(finding(twice, "ERROR", "DUPLICATE_ID", F.col("id")))
 
 
 def dangling(graph: Graph) -> DataFrame:
     """Edges without one of their ends."""
-    ids = graph.nodes.select("id")
-    parts = [graph.edges.join(ids, F.col(end) == F.col("id"), "left_anti").select(F.concat_ws(" ", "src", "type", "dst").alias("d")) for end in ("src", "dst")]
-    return finding(parts[0].unionByName(parts[1]).distinct(), "ERROR", "REFERENTIAL_INTEGRITY", F.col("d"))
+    missing, found = _odd(graph).filter("n = 0 and id is not null").select("id"), [graph.edges.filter("src is null or dst is null")]
+    if not missing.isEmpty():
+        found += [graph.edges.join(missing, F.col(end) == F.col("id"), "left_semi") for end in ("src", "dst")]
+    parts = [e.select(F.concat_ws(" ", "src", "type", "dst").alias("d")) for e in found]
+    return finding(reduce(DataFrame.unionByName, parts).distinct(), "ERROR", "REFERENTIAL_INTEGRITY", F.col("d"))
 
 
 def vocabulary(graph: Graph, labels: set[str], types: set[str]) -> DataFrame:
@@ -52,9 +70,9 @@ def property_types(graph: Graph, kinds: dict[str, str]) -> DataFrame:
 
 
 def orphans(graph: Graph, tolerated: set[str] = frozenset()) -> DataFrame:
-    ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id"))
-    alone = graph.nodes.join(ends, "id", "left_anti")
-    return finding(alone.filter(~F.col("label").isin(*tolerated)) if tolerated else alone, "WARNING", "ORPHAN", F.col("id"))
+    nodes = graph.nodes.filter(~F.col("label").isin(*tolerated)) if tolerated else graph.nodes
+    alone = nodes.join(_odd(graph).filter("n > 0 and not tied and id is not null").select("id"), "id", "left_semi").select("id")
+    return finding(alone.unionByName(nodes.filter("id is null").select("id")), "WARNING", "ORPHAN", F.col("id"))
 
 
 def provenance(graph: Graph) -> DataFrame:
@@ -78,12 +96,15 @@ def report(graph: Graph, checks: dict[str, Check]) -> tuple[DataFrame, DataFrame
         try:
             parts.append(check(graph))
         except Exception as e:
+            if isinstance(e, Py4JJavaError) or isinstance(e, CapturedException) and not isinstance(e, AnalysisException):
+                raise  # a job failed, so nothing is known of the graph
             parts.append(spark.createDataFrame([("WARNING", "RULE_ERROR", f"{name}: {type(e).__name__}")], "severity string, rule string, detail string"))
-    every = reduce(DataFrame.unionByName, parts)
+    # every check is run once: what comes of it is counted by detail and held
+    every = Rounds(spark).hold(reduce(DataFrame.unionByName, parts).groupBy("severity", "rule", "detail").agg(F.count(F.lit(1)).alias("n")))
     # the first 50 of a rule are found before the shuffle, so a rule that hits many rows gathers no more than 50 a task
     first = F.row_number().over(Window.partitionBy("severity", "rule").orderBy("detail"))
-    shown = every.filter("detail is not null").distinct().withColumn("_r", first).filter("_r <= 50").groupBy("severity", "rule").agg(F.array_sort(F.collect_list("detail")).alias("details"))
-    found = every.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n")).join(shown, ["severity", "rule"], "left")
+    shown = every.filter("detail is not null").withColumn("_r", first).filter("_r <= 50").groupBy("severity", "rule").agg(F.array_sort(F.collect_list("detail")).alias("details"))
+    found = every.groupBy("severity", "rule").agg(F.sum("n").alias("n")).join(shown, ["severity", "rule"], "left")
     found = found.select("severity", "rule", "n", F.coalesce("details", F.array().cast("array<string>")).alias("details"))
     rank = F.create_map(*[x for k, v in _RANK.items() for x in (F.lit(k), F.lit(v))])
     status = found.agg(F.min(rank[F.col("severity")]).alias("worst")).select(F.when(F.col("worst") == 0, "FAIL").when(F.col("worst") == 1, "WARN").otherwise("PASS").alias("status"))
