@@ -9,10 +9,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Graph
+from .shared import Rounds
 
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
 
@@ -36,14 +37,18 @@ def where(label: str, predicate, message: str = "") -> Callable[[Graph], DataFra
 def without(label: str, types: list[str], incoming: bool = True, predicate="true") -> Callable[[Graph], DataFrame]:
     """Nodes of a label without edges of some types on one side."""
     end = "dst" if incoming else "src"
-    return lambda g: g.by_label(label).filter(predicate).join(g.of_type(*types).select(F.col(end).alias("id")), "id", "left_anti").select(F.col("id").alias("target"), F.col("name").alias("message"))
+    return lambda g: g.by_label(label).filter(predicate).join(g.of_type(*types).select(F.col(end).alias("id")).distinct(), "id", "left_anti").select(F.col("id").alias("target"), F.col("name").alias("message"))
 
 
 def at_least(label: str, types: list[str], n: int, incoming: bool = True) -> Callable[[Graph], DataFrame]:
-    """Nodes of a label that n different nodes or more are tied to by edges of some types."""
+    """Nodes of a label that n different nodes or more are tied to by edges of some types.
+
+    Pairs move before they are told apart, each node's in 16 parts, and are sorted, not looked up: few are equal, so a task would keep a table of all its pairs.
+    """
     end, other = ("dst", "src") if incoming else ("src", "dst")
     return lambda g: (
-        g.of_type(*types).groupBy(F.col(end).alias("id")).agg(F.count_distinct(other).alias("n")).filter(F.col("n") >= n)
+        g.of_type(*types).select(F.col(end).alias("id"), F.col(other).alias("other"), F.pmod(F.hash(other), F.lit(16)).alias("part")).filter("other is not null")
+        .withColumn("n", F.dense_rank().over(Window.partitionBy("id", "part").orderBy("other"))).groupBy("id", "part").agg(F.max("n").alias("n")).groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= n)
         .join(g.by_label(label), "id").select(F.col("id").alias("target"), F.concat_ws(" ", "name", F.col("n").cast("string")).alias("message"))
     )
 
@@ -67,7 +72,8 @@ def filtered(found: DataFrame, least: str = "INFO", category: str | None = None,
 
 def ledger(found: DataFrame, prefix: str = "") -> Graph:
     """Issue and recommendation nodes, and HAS_ISSUE, AFFECTS and HAS_RECOMMENDATION edges; prefix names the estate."""
-    i = found.withColumn("_rule", F.concat(F.lit(prefix), "rule")).withColumn("id", F.concat(F.lit("issue:"), "_rule", F.lit(":"), "target")).withColumn("advice_id", F.concat(F.lit("advice:"), "_rule"))
+    i = Rounds(found.sparkSession).hold(found)  # five tables are made of it
+    i = i.withColumn("_rule", F.concat(F.lit(prefix), "rule")).withColumn("id", F.concat(F.lit("issue:"), "_rule", F.lit(":"), "target")).withColumn("advice_id", F.concat(F.lit("advice:"), "_rule"))
     nodes = i.select("id", F.lit("Issue").alias("label"), F.col("message").alias("name"), F.create_map(F.lit("rule"), F.col("_rule"), F.lit("severity"), F.col("severity"), F.lit("category"), F.col("category")).alias("props"), F.lit(0).cast("long").alias("ordinal"))
     advice = i.select(F.col("advice_id").alias("id"), F.lit("Recommendation").alias("label"), F.col("advice").alias("name"), F.create_map(F.lit("rule"), F.col("_rule")).alias("props"), F.lit(0).cast("long").alias("ordinal")).dropDuplicates(["id"])
     edge = lambda a, b, t: i.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(t).alias("type"), F.create_map().cast("map<string,string>").alias("props"), F.lit(0).cast("long").alias("ordinal"))
